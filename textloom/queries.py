@@ -1,10 +1,761 @@
-"""The registered queries of the retrieval engine and their SQL."""
+"""The registered queries of the retrieval engine, each with the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.functions import text as tx
+from textloom.functions import vectors as vf
+from textloom.operators import chunk, evaluate, index, rank
+from textloom.plans import search as plan
+from textloom.sources import extract, files
+from textloom.streaming import changes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- inputs, in both languages
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs_of(spark, sf_dir, *more: str) -> DataFrame:
+    path = F.concat(F.lit("/corpus/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"), *more)
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    """Queries: the benchmark's passages, each with the vector of its number."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("qv"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return q.join(v, "query_id", "left")
+
+
+def vectors_of(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def engine(spark, sf_dir) -> plan.Engine:
+    return plan.Engine(docs_of(spark, sf_dir), vectors_of(spark, sf_dir))
+
+
+def qrels_of(spark, sf_dir) -> DataFrame:
+    """Documents that hold a query's passage: 2, or 1 for documents of low quality. Found by the passage's
+    longest words in the postings, then compared."""
+    b = table(spark, sf_dir, "benchmark")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rare = b.select("item_id", F.element_at(tx.by_length(F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")), 1).alias("w"), F.col("text").alias("passage"))
+    words = d.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("w"))
+    low = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct()
+    held = words.join(rare, "w").filter(F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), "doc_id")
+    return held.join(low.withColumn("low", F.lit(1)), "doc_id", "left").select("query_id", "doc_id", F.when(F.col("low") == 1, 1).otherwise(2).alias("rel"))
+
+
+PATH = "'/corpus/' || lang || '/' || source || '/' || doc_id || '.txt'"
+TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
+POST = f"""tok AS (SELECT doc_id, unnest(t) AS term, len(t) AS dl FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents)),
+post AS (SELECT doc_id, dl, term, count(*) AS tf FROM tok GROUP BY ALL),
+voc AS (SELECT term, count(*) AS df, sum(tf) AS cnt FROM post GROUP BY term),
+st AS (SELECT count(DISTINCT doc_id) AS n, sum(len({TOK.format('text')})) / greatest(count(DISTINCT doc_id), 1) AS avgdl FROM documents)"""
+BM25 = (
+    POST
+    + f""",
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOK.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+bm AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+  FROM qt JOIN voc USING (term) JOIN post USING (term), st GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM bm QUALIFY rank < 28)"""
+)
+SIM = (
+    BM25
+    + """,
+sim AS (SELECT top.query_id, top.doc_id, top.score, top.rank, coalesce(round(list_sum(list_transform(list_zip(d.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6), 0.0) AS sim
+  FROM top LEFT JOIN embeddings d ON d.vec_id = top.doc_id LEFT JOIN embeddings q ON q.vec_id = top.query_id),
+er AS (SELECT *, CASE WHEN sim > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) - 1 END AS e_rank, count(*) OVER (PARTITION BY query_id) AS n FROM sim),
+fused AS (SELECT query_id, doc_id, round(1.0 / (60 + rank) + 1.0 / (60 + coalesce(e_rank, n)), 9) AS score FROM er),
+hyb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM fused QUALIFY rank < 20)"""
+)
+CATALOG = f"cat AS (SELECT 'f_' || md5({PATH}) AS file_uid, {PATH} AS path, n_chars AS size, CAST(doc_id AS DOUBLE) AS mtime, md5(text) AS content_sig, CASE WHEN doc_id % 7 = 0 THEN 'v1' ELSE 'v2' END AS version, CAST(1000 + doc_id AS DOUBLE) AS indexed_at, CASE WHEN doc_id % 11 = 0 THEN 'missing' ELSE 'active' END AS status FROM documents)"
+LISTING = f"lst AS (SELECT {PATH} AS path, n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS size, CAST(doc_id AS DOUBLE) AS mtime FROM documents WHERE doc_id % 13 <> 0)"
+
+
+def catalog_of(spark, sf_dir) -> DataFrame:
+    d = docs_of(spark, sf_dir, "n_chars")
+    version, status = F.when(F.col("doc_id") % 7 == 0, "v1").otherwise("v2"), F.when(F.col("doc_id") % 11 == 0, "missing").otherwise("active")
+    return d.select(tx.file_uid(F.col("path")).alias("file_uid"), "path", F.col("n_chars").alias("size"), F.col("doc_id").cast("double").alias("mtime"), F.md5("text").alias("content_sig"), version.alias("version"), (F.col("doc_id") + 1000).cast("double").alias("indexed_at"), status.alias("status"))
+
+
+def listing_of(spark, sf_dir) -> DataFrame:
+    d = docs_of(spark, sf_dir, "n_chars").filter("doc_id % 13 <> 0")
+    return d.select("path", (F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("size"), F.col("doc_id").cast("double").alias("mtime"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(f"SELECT doc_id, {TOK.format('text')} AS tokens, CAST(len({TOK.format('text')}) AS INTEGER) AS n_tokens FROM documents")
+def tokenize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, upper(md5(text)) AS text_hash FROM documents")
+def chunk_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(tx.text_hash(F.col("text"))).alias("text_hash"))
+
+
+@query(f"SELECT doc_id, 'f_' || md5({PATH}) AS file_uid FROM documents")
+def file_uid(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", tx.file_uid(F.col("path")).alias("file_uid"))
+
+
+Q_TEXT = "SELECT item_id AS query_id, '\"' || split_part(text, ' ', 1) || '\" ' || text AS q FROM benchmark"
+NGRAM = "list_transform(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: array_to_string(w[i:i + {n} - 1], ' '))"
+
+
+@query(f"""WITH q AS ({Q_TEXT}), t AS (SELECT query_id, q, {TOK.format('q')} AS w FROM q)
+SELECT query_id, list_sort(list_distinct(list_concat(regexp_extract_all(q, '"([^"]+)"', 1), regexp_extract_all(q, '''([^'']+)''', 1),
+  list_filter({NGRAM.format(n=2)}, lambda p: length(p) > 5), list_filter({NGRAM.format(n=3)}, lambda p: length(p) > 8)))) AS phrases FROM t""")
+def detect_phrases(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit('"'), F.split("text", " ")[0], F.lit('" '), "text").alias("q"))
+    return q.select("query_id", tx.phrases(F.col("q")).alias("phrases"))
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, text AS q, {TOK.format('text')} AS w FROM conversations),
+c AS (SELECT *, list_filter(w, lambda t: regexp_full_match(t, '\\d+')) AS nums, list_filter(w, lambda t: NOT regexp_full_match(t, '\\d+') AND length(t) > 2) AS content FROM q),
+k AS (SELECT *, list_transform(list_sort(list_transform(list_distinct(content), lambda t: {{'n': -length(t), 'w': t}})), lambda s: s.w) AS words FROM c),
+m AS (SELECT *, CASE WHEN len(content) <= 6 OR regexp_matches(q, '["''‘’]') OR len(content) > 12 THEN 16 ELSE 12 END AS most FROM k),
+j AS (SELECT conv_id, turn, list_concat(nums, words[1:most]) AS l FROM m)
+SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) AS keys FROM j""")
+def extract_keywords(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.keywords(F.col("text")).alias("keys"))
+
+
+@query(r"""WITH q AS (SELECT ['the', 'and', 'that', 'von', 'les'] AS w), d AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p, w FROM documents, q),
+s AS (SELECT *, list_transform(p, lambda x: len(list_filter(w, lambda t: contains(lower(x), t)))) AS sc FROM d),
+b AS (SELECT doc_id, p, list_position(sc, list_max(sc)) AS best FROM s),
+o AS (SELECT doc_id, array_to_string(p[greatest(best - 1, 1):least(best + 2, len(p))], ' ') AS t FROM b)
+SELECT doc_id, CASE WHEN length(t) > 280 THEN regexp_replace(left(t, 280), ' [^ ]*$', '') || '…' ELSE t END AS snippet FROM o""")
+def snippet(spark, sf_dir):
+    words = F.array(*map(F.lit, ("the", "and", "that", "von", "les")))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.snippet(F.col("text"), words).alias("snippet"))
+
+
+@query("SELECT doc_id FROM documents WHERE NOT (regexp_matches(text, '\\d{4,}') OR regexp_matches(text, '(?i)token\\s*='))")
+def exclude_pattern(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(tx.matches_none(F.col("text"), [r"\d{4,}", r"(?i)token\s*="])).select("doc_id")
+
+
+EXTS = ["'.txt'", "'.md'", "'.PNG'", "'.py'", "'.lock'", "''", "'.csv'", "'.log'"]
+LIST = "list_extract([" + ", ".join(EXTS) + "], CAST(doc_id % 8 AS INTEGER) + 1)"
+DIRS = "list_extract(['', 'node_modules/', '.hidden/', 'src/', 'build/'], CAST(doc_id % 5 AS INTEGER) + 1)"
+
+
+def variants(spark, sf_dir) -> DataFrame:
+    ext = F.element_at(F.array(*(F.lit(e.strip("'")) for e in EXTS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    folder = F.element_at(F.array(*map(F.lit, ("", "node_modules/", ".hidden/", "src/", "build/"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.concat("lang", F.lit("/"), folder, F.lit("f"), F.col("doc_id").cast("string"), ext).alias("path"))
+
+
+V = f"v AS (SELECT doc_id, n_chars, lang || '/' || {DIRS} || 'f' || doc_id || {LIST} AS path FROM documents)"
+
+
+@query(f"WITH {V} SELECT doc_id, path FROM v WHERE (lower(path) LIKE '%.txt' OR lower(path) LIKE '%.png') AND NOT lower(path) LIKE '%.md'")
+def ext_filter(spark, sf_dir):
+    return variants(spark, sf_dir).filter(tx.extension_filter(F.col("path"), ["txt", ".png", "md"], ["md"])).select("doc_id", "path")
+
+
+@query(f"WITH {V} SELECT doc_id, path FROM v WHERE NOT regexp_matches(path, '(^|/)(node_modules|build|\\.[^/]*)/') AND regexp_matches(lower(path), '\\.(txt|md|py|csv)$') AND n_chars BETWEEN 1 AND 2097152")
+def src_walk_filter(spark, sf_dir):
+    return variants(spark, sf_dir).filter(files.walk_filter(F.col("path"), F.col("n_chars"))).select("doc_id", "path")
+
+
+@query(f"WITH {V} SELECT doc_id, path FROM v WHERE NOT (regexp_matches(path, '(^|/)(node_modules|build)/') OR regexp_matches(path, '(^|/)\\.[^./][^/]*/') OR regexp_matches(lower(path), '\\.(png|lock|log)$') OR regexp_matches(path, '[^/]*7\\.csv$'))")
+def sync_ignore(spark, sf_dir):
+    return variants(spark, sf_dir).filter(~files.ignored(F.col("path"), ["*7.csv"], 9)).select("doc_id", "path")
+
+
+@query(f"WITH {V} SELECT doc_id, path FROM v WHERE NOT (regexp_matches(path, '\\.csv$') OR (starts_with(path, 'en/') AND regexp_matches(path, '(^|/)src/')))")
+def gitignore_filter(spark, sf_dir):
+    rules = spark.createDataFrame([("", "*.csv"), ("en/", "src/"), ("", "# note"), ("", "!f1.csv")], "dir string, pattern string")
+    return files.gitignored(variants(spark, sf_dir), rules).select("doc_id", "path")
+
+
+@query("SELECT page_id, true AS is_text FROM pages")
+def pred_is_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", files.is_text(F.col("html").cast("binary")).alias("is_text"))
+
+
+@query(r"""WITH q AS (SELECT 'in the 2024 report the and 12' AS q), d AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT doc_id, round(least(0.05 * ((CASE WHEN contains(t, '2024') THEN 2 ELSE 0 END) + (CASE WHEN contains(t, '12') THEN 1 ELSE 0 END))
+ + 0.03 * len(list_filter(['in the', 'the 2024', '2024 report', 'report the', 'the and', 'and 12', 'in the 2024', 'the 2024 report', '2024 report the', 'report the and', 'the and 12'], lambda p: contains(t, p))), 0.2), 6) AS boost FROM d""")
+def factual_boost(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(tx.factual_boost(F.col("text"), F.lit("in the 2024 report the and 12")), 6).alias("boost"))
+
+
+# ---------------------------------------------------------------- extraction
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style|noscript)[^>]*>(.|\n)*?</(script|style|noscript)\s*>|<!--(.|\n)*?-->', '', 'g'), '<[^>]*>', chr(10), 'g') AS t FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM a)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM b""")
+def extract_html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", extract.html_text(F.col("html")).alias("text"))
+
+
+@query("SELECT event_id, props->>'k' AS text FROM events")
+def extract_json_values(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", extract.json_values(F.col("props")).alias("text"))
+
+
+@query("SELECT user_id, string_agg(props->>'k', chr(10) ORDER BY event_id) AS text FROM events GROUP BY user_id")
+def extract_jsonl(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "props"))).alias("r"))
+    return e.select("user_id", extract.jsonl_text(F.array_join(F.transform("r", lambda x: x["props"]), "\n")).alias("text"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ' ' || o_orderstatus || ' ' || o_orderpriority AS text FROM orders")
+def extract_csv(spark, sf_dir):
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    return table(spark, sf_dir, "orders").select("o_orderkey", extract.csv_text(line).alias("text"))
+
+
+# ---------------------------------------------------------------- chunks
+
+WORDS = r"list_filter(string_split_regex({0}, '\s+'), lambda x: x <> '')"
+COUNT = "CASE WHEN len(w) <= 220 THEN 1 ELSE CAST(ceil((len(w) - 220) / 200.0) AS BIGINT) + 1 END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), n AS (SELECT doc_id, w, unnest(range(0, {COUNT})) AS i FROM d WHERE len(w) > 0)
+SELECT doc_id, CAST(i AS INTEGER) AS ord, array_to_string(w[i * 200 + 1:i * 200 + 220], ' ') AS chunk FROM n""")
+def span_chunk(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.spans(F.col("text"))).alias("ord", "chunk"))
+
+
+def joined(spark, sf_dir, line) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("r"))
+    return c.select("conv_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("text"))
+
+
+def section_sql(line: str, kind: str) -> str:
+    """Each turn is a section: its lines hold no border of their own."""
+    return f"""WITH s AS (SELECT conv_id, turn, regexp_replace({line}, '^\\s+|\\s+$', '', 'g') AS s FROM conversations),
+w AS (SELECT conv_id, turn, s, {WORDS.format('s')} AS w FROM s),
+e AS (SELECT conv_id, turn, 0 AS i, s AS chunk FROM w WHERE len(w) <= 220 UNION ALL
+  SELECT conv_id, turn, i, array_to_string(w[i * 200 + 1:i * 200 + 220], ' ') FROM (SELECT *, unnest(range(0, {COUNT})) AS i FROM w WHERE len(w) > 220))
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS INTEGER) AS ord, '{kind}' AS chunk_type, chunk FROM e"""
+
+
+@query(section_sql("'# ' || role || ' ' || turn || chr(10) || text", "markdown"))
+def markdown_chunk(spark, sf_dir):
+    d = joined(spark, sf_dir, F.concat(F.lit("# "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), "text"))
+    return d.select("conv_id", F.posexplode(chunk.chunks(F.col("text"), F.lit(".md"))).alias("ord", "c")).select("conv_id", "ord", "c.chunk_type", "c.chunk")
+
+
+@query(section_sql("'def turn_' || turn || '():' || chr(10) || text", "python"))
+def python_chunk(spark, sf_dir):
+    d = joined(spark, sf_dir, F.concat(F.lit("def turn_"), F.col("turn").cast("string"), F.lit("():\n"), "text"))
+    return d.select("conv_id", F.posexplode(chunk.chunks(F.col("text"), F.lit(".py"))).alias("ord", "c")).select("conv_id", "ord", "c.chunk_type", "c.chunk")
+
+
+@query(f"""WITH d AS (SELECT 'f_' || md5({PATH}) AS file_uid, {WORDS.format('text')} AS w FROM documents), n AS (SELECT file_uid, w, {COUNT} AS n FROM d WHERE len(w) > 0),
+c AS (SELECT file_uid, n, unnest(range(0, n)) AS i, w FROM n)
+SELECT CASE WHEN n > 1 THEN file_uid || '::' || i ELSE file_uid END AS chunk_id, CAST(i AS INTEGER) AS ord, 'simple' AS chunk_type, md5(array_to_string(w[i * 200 + 1:i * 200 + 220], ' ')) AS text_md5 FROM c""")
+def smart_chunk(spark, sf_dir):
+    d = docs_of(spark, sf_dir).select(tx.file_uid(F.col("path")).alias("file_uid"), F.col("path").alias("file_path"), "text")
+    return chunk.explode_chunks(d, F.lit(".txt")).select("chunk_id", "ord", "chunk_type", F.lower(F.hex("text_hash")).alias("text_md5"))
+
+
+# ---------------------------------------------------------------- statistics and scores
+
+
+@query(f"WITH {POST} SELECT doc_id, term, tf, dl FROM post")
+def term_frequency(spark, sf_dir):
+    return index.postings(docs_of(spark, sf_dir), "doc_id").select("doc_id", "term", "tf", "dl")
+
+
+@query(f"WITH {POST} SELECT term, df, CAST(cnt AS BIGINT) AS cnt FROM voc")
+def document_frequency(spark, sf_dir):
+    return index.document_frequency(index.postings(docs_of(spark, sf_dir), "doc_id"))
+
+
+@query(f"WITH {POST}, q AS (SELECT DISTINCT unnest({TOK.format('text')}) AS term FROM benchmark) SELECT term, coalesce(df, 0) AS df FROM q LEFT JOIN voc USING (term)")
+def df_lookup(spark, sf_dir):
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+    v = index.document_frequency(index.postings(docs_of(spark, sf_dir), "doc_id"))
+    return terms.join(v, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+
+
+@query(f"WITH {POST} SELECT n FROM st")
+def corpus_total_docs(spark, sf_dir):
+    return index.corpus_stats(docs_of(spark, sf_dir), "doc_id").select("n")
+
+
+@query(f"WITH {POST} SELECT round(avgdl, 6) AS avgdl FROM st")
+def corpus_avg_doc_length(spark, sf_dir):
+    return index.corpus_stats(docs_of(spark, sf_dir), "doc_id").select(F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, score FROM bm")
+def bm25_score(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    return rank.bm25(asked(spark, sf_dir), e.posted, e.vocab, e.stats)
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM top WHERE rank < 20")
+def search_bm25(spark, sf_dir):
+    return engine(spark, sf_dir).rank(asked(spark, sf_dir), "bm25")
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM top WHERE rank < 10")
+def bm25_topk(spark, sf_dir):
+    return engine(spark, sf_dir).rank(asked(spark, sf_dir), "bm25", 10)
+
+
+FTS = (
+    POST
+    + f""",
+keys AS (SELECT DISTINCT item_id AS query_id, unnest({TOK.format('text')}) AS term FROM benchmark),
+rs AS (SELECT count(*) AS rn, avg(dl) AS ravg FROM (SELECT DISTINCT doc_id, dl FROM post)),
+fts AS (SELECT query_id, doc_id, round(-sum(greatest(ln((rn - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / ravg))), 6) AS score FROM keys JOIN voc USING (term) JOIN post USING (term), rs GROUP BY ALL)"""
+)
+
+
+def matched(spark, sf_dir, scope=None, k=600) -> DataFrame:
+    e = engine(spark, sf_dir)
+    keys = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(tx.tokens(F.col("text"))).alias("keys"))
+    posted = e.posted if scope is None else e.posted.join(e.scoped(scope).select("doc_id"), "doc_id", "left_semi")
+    return e.match(keys, posted, k)
+
+
+@query(f"WITH {FTS} SELECT query_id, doc_id, score FROM fts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) <= 600")
+def fts_bm25(spark, sf_dir):
+    return matched(spark, sf_dir).select("query_id", "doc_id", "score")
+
+
+@query(f"WITH {FTS} SELECT query_id, fts.doc_id, score FROM fts JOIN documents d ON d.doc_id = fts.doc_id WHERE lang = 'en' AND source = 'src0' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, fts.doc_id) <= 600")
+def fts_match_topk_dir_scope(spark, sf_dir):
+    return matched(spark, sf_dir, "/corpus/en/src0").select("query_id", "doc_id", "score")
+
+
+@query(f"WITH {FTS} SELECT query_id, fts.doc_id, score FROM fts JOIN documents d ON d.doc_id = fts.doc_id WHERE {PATH.replace('doc_id', 'd.doc_id')} = '/corpus/en/src1/1.txt'")
+def fts_match_topk_file_scope(spark, sf_dir):
+    return matched(spark, sf_dir, "/corpus/en/src1/1.txt").select("query_id", "doc_id", "score")
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS place FROM bm QUALIFY place <= 5")
+def topk_per_query(spark, sf_dir):
+    return rank.top_k(bm25_score(spark, sf_dir), 5).select("query_id", "doc_id", (F.col("rank") + 1).cast("int").alias("place"))
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 0.5 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS norm FROM top WINDOW w AS (PARTITION BY query_id)")
+def minmax_norm(spark, sf_dir):
+    return engine(spark, sf_dir).rank(asked(spark, sf_dir), "bm25", 28).select("query_id", "doc_id", F.round(rank.minmax(F.col("score")), 6).alias("norm"))
+
+
+@query(f"WITH {SIM} SELECT query_id, doc_id, sim FROM sim")
+def cosine_rerank(spark, sf_dir):
+    e, q = engine(spark, sf_dir), asked(spark, sf_dir)
+    return e.similar(e.rank(q, "bm25", 28), q).select("query_id", "doc_id", "sim")
+
+
+@query(f"WITH {SIM}, r AS (SELECT query_id, doc_id, sim AS score, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) - 1 AS rank FROM sim) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 20")
+def search_embedding(spark, sf_dir):
+    return engine(spark, sf_dir).rank(asked(spark, sf_dir), "embedding")
+
+
+@query(f"WITH {SIM} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM hyb")
+def search_hybrid(spark, sf_dir):
+    return engine(spark, sf_dir).rank(asked(spark, sf_dir), "hybrid")
+
+
+@query(f"WITH {SIM} SELECT query_id, doc_id, score FROM fused")
+def rrf_fusion(spark, sf_dir):
+    return engine(spark, sf_dir).rank(asked(spark, sf_dir), "hybrid", 28).select("query_id", "doc_id", "score")
+
+
+FEAT = (
+    SIM
+    + f""",
+f0 AS (SELECT er.*, list_filter({TOK.format('b.text')}, lambda t: length(t) > 2) AS w, {TOK.format('d.text')} AS t FROM er JOIN benchmark b ON b.item_id = er.query_id JOIN documents d ON d.doc_id = er.doc_id),
+f1 AS (SELECT *, array_to_string(t, ' ') AS s, list_distinct(list_concat({NGRAM.format(n=2)}, {NGRAM.format(n=3)})) AS p FROM f0),
+f2 AS (SELECT *, len(list_intersect(list_distinct(w), list_distinct(t))) / greatest(len(list_distinct(list_concat(w, t))), 1) AS j, len(list_filter(p, lambda x: contains(s, x))) / greatest(len(p), 1) AS f,
+  CASE WHEN len(list_intersect(regexp_extract_all(array_to_string(w, ' '), '\\d+'), regexp_extract_all(s, '\\d+'))) > 0 THEN 1.0 ELSE 0.0 END AS g FROM f1),
+feat AS (SELECT *, (j - min(j) OVER v) / (max(j) OVER v - min(j) OVER v + 1e-9) AS jaccard, (f - min(f) OVER v) / (max(f) OVER v - min(f) OVER v + 1e-9) AS phrase, (g - min(g) OVER v) / (max(g) OVER v - min(g) OVER v + 1e-9) AS digit FROM f2 WINDOW v AS (PARTITION BY query_id))"""
+)
+
+
+def featured(spark, sf_dir) -> DataFrame:
+    e, q = engine(spark, sf_dir), asked(spark, sf_dir)
+    d = e.embed_rank(e.similar(e.rank(q, "bm25", 28), q)).join(e.docs.select("doc_id", "text"), "doc_id").join(q.select("query_id", F.col("text").alias("query")), "query_id")
+    return rank.boost_features(d)
+
+
+@query(f"WITH {FEAT} SELECT query_id, doc_id, round(jaccard, 6) AS jaccard, round(phrase, 6) AS phrase, round(digit, 6) AS digit FROM feat")
+def boost_features(spark, sf_dir):
+    return featured(spark, sf_dir).select("query_id", "doc_id", *(F.round(c, 6).alias(c) for c in ("jaccard", "phrase", "digit")))
+
+
+@query(f"WITH {FEAT} SELECT query_id, doc_id, round((1.0 / (60 + rank) + 1.0 / (60 + coalesce(e_rank, n))) * (1 + 0.4 * jaccard + 0.3 * phrase + 0.1 * digit), 6) AS score FROM feat")
+def boosted_fusion(spark, sf_dir):
+    score = rank.boosted(rank.rrf([F.col("rank"), F.col("e_rank")], F.col("n")), F.col("jaccard"), F.col("phrase"), F.col("digit"))
+    return featured(spark, sf_dir).select("query_id", "doc_id", F.round(score, 6).alias("score"))
+
+
+@query(f"WITH {SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) - 1 AS s_rank FROM sim) SELECT query_id, round(CASE WHEN count(*) < 5 THEN 0.0 ELSE 1 - 6 * sum((rank - s_rank) * (rank - s_rank)) / (count(*) * (count(*) * count(*) - 1)) END, 6) AS rho FROM r GROUP BY query_id")
+def rank_correlation(spark, sf_dir):
+    e, q = engine(spark, sf_dir), asked(spark, sf_dir)
+    d = e.similar(e.rank(q, "bm25", 28), q)
+    s = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "doc_id")) - 1
+    return d.withColumn("s_rank", s).groupBy("query_id").agg(F.round(rank.rank_correlation(F.col("rank").cast("double"), F.col("s_rank").cast("double")), 6).alias("rho"))
+
+
+@query(f"""WITH {BM25}, s AS (SELECT query_id, list(score ORDER BY rank) AS s FROM top GROUP BY query_id), d AS (SELECT query_id, s, list_stddev_pop(s[1:10]) AS sd FROM s)
+SELECT query_id, CAST(CASE WHEN len(s) < 10 THEN least(len(s), 80) WHEN sd < 0.02 OR s[1] - s[10] < 0.1 THEN 100 WHEN s[1] - s[5] > 0.4 THEN 70 WHEN s[1] - s[10] > 0.5 THEN 80 ELSE 90 END AS INTEGER) AS budget FROM d""")
+def adaptive_budget(spark, sf_dir):
+    top = engine(spark, sf_dir).rank(asked(spark, sf_dir), "bm25", 28)
+    s = top.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
+    return s.select("query_id", rank.budget(F.col("s")).cast("int").alias("budget"))
+
+
+KEYS = f"ks AS (SELECT item_id AS query_id, list_distinct({TOK.format('text')}) AS keys FROM benchmark)"
+
+
+def keys_of(spark, sf_dir) -> DataFrame:
+    """Each query's distinct tokens, in the order of their names."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_sort(F.array_distinct(tx.tokens(F.col("text")))).alias("keys"))
+
+
+@query(f"WITH {BM25}, {KEYS}, s AS (SELECT query_id, count(*) AS n, stddev_pop(score) AS sd FROM top WHERE rank < 10 GROUP BY query_id) SELECT query_id, len(list_filter(keys, lambda k: NOT regexp_full_match(k, '\\d+'))) <= 4 OR coalesce(n >= 10 AND sd < 0.02, false) AS expand FROM ks LEFT JOIN s USING (query_id)")
+def prf_gate(spark, sf_dir):
+    return rank.prf_gate(engine(spark, sf_dir).rank(asked(spark, sf_dir), "bm25", 28), keys_of(spark, sf_dir))
+
+
+PRF = (
+    BM25
+    + f""",
+kw AS (SELECT item_id AS query_id, list_sort(list_distinct({TOK.format('text')})) AS keys FROM benchmark),
+pt AS (SELECT query_id, term, round(sum(score * tf * CASE WHEN tf <= 2 THEN 2.0 WHEN tf <= 5 THEN 1.5 ELSE 1.0 END), 6) AS s FROM top JOIN post USING (doc_id)
+  WHERE rank < 10 AND length(term) >= 3 AND NOT regexp_full_match(term, '\\d+') AND NOT EXISTS (SELECT 1 FROM kw WHERE kw.query_id = top.query_id AND list_contains(keys, term)) GROUP BY ALL),
+px AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, term) - 1 AS term_rank FROM pt WHERE s > 0.1 QUALIFY term_rank < 20),
+al AS (SELECT query_id, doc_id FROM (
+  SELECT query_id, term, true AS a, i = 1 AS h FROM (SELECT query_id, unnest(keys[1:3]) AS term, unnest(range(1, least(len(keys), 3) + 1)) AS i FROM kw)
+  UNION ALL SELECT query_id, term, false, false FROM px WHERE term_rank < 5) JOIN post USING (term) GROUP BY ALL HAVING bool_or(a) OR (bool_or(h) AND bool_or(NOT a)))"""
+)
+
+
+@query(f"WITH {PRF} SELECT query_id, term, s AS score, CAST(term_rank AS INTEGER) AS term_rank FROM px")
+def prf_terms(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    return rank.prf_terms(e.rank(asked(spark, sf_dir), "bm25", 28), asked(spark, sf_dir), e.posted)
+
+
+@query(f"WITH {PRF} SELECT query_id, doc_id FROM al")
+def prf_requery(spark, sf_dir):
+    return rank.anchored(keys_of(spark, sf_dir), prf_terms(spark, sf_dir), engine(spark, sf_dir).posted)
+
+
+@query(f"""WITH {FTS}, a AS (SELECT * FROM fts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) <= 10), b AS (SELECT * FROM fts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id % 3, score, doc_id) <= 10),
+x AS (SELECT query_id, count(*) AS c FROM a JOIN b USING (query_id, doc_id) GROUP BY query_id)
+SELECT query_id, coalesce(c, 0) / 10.0 AS overlap, coalesce(c, 0) / 10.0 >= 0.4 AS keep FROM (SELECT DISTINCT query_id FROM a) LEFT JOIN x USING (query_id)""")
+def prf_drift_guard(spark, sf_dir):
+    m = matched(spark, sf_dir, k=1_000_000)
+    w = Window.partitionBy("query_id").orderBy(F.col("doc_id") % 3, "score", "doc_id")
+    return rank.drift_guard(m, m.withColumn("rank", F.row_number().over(w) - 1))
+
+
+@query(f"SELECT item_id AS query_id, len(list_filter({TOK.format('text')}, lambda k: NOT regexp_full_match(k, '\\d{{3,4}}'))) = 0 AS numeric_only FROM benchmark")
+def numeric_query_path(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.forall(tx.tokens(F.col("text")), lambda k: k.rlike(r"^\d{3,4}$")).alias("numeric_only"))
+
+
+@query(f"WITH {SIM} SELECT query_id, round(avg(CASE WHEN sim > 0 THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(0.6 + 0.4 / (1 + exp(-(stddev_pop(sim) - 0.008) / 0.004)), 6) AS weight FROM sim GROUP BY query_id")
+def vector_coverage(spark, sf_dir):
+    e, q = engine(spark, sf_dir), asked(spark, sf_dir)
+    d = e.similar(e.rank(q, "bm25", 28), q)
+    return d.groupBy("query_id").agg(F.round(F.avg((F.col("sim") > 0).cast("double")), 6).alias("coverage"), F.round(rank.embedding_weight(F.stddev_pop("sim")), 6).alias("weight"))
+
+
+DEDUP = BM25 + f""",
+dt AS (SELECT query_id, rank, top.doc_id, list_distinct({TOK.format('text')}) AS t FROM top JOIN documents d ON d.doc_id = top.doc_id)"""
+
+
+@query(f"WITH {DEDUP} SELECT a.query_id, a.doc_id AS doc_a, b.doc_id AS doc_b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM dt a JOIN dt b ON a.query_id = b.query_id AND a.rank < b.rank WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.83")
+def jaccard_pairs(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    t = e.rank(asked(spark, sf_dir), "bm25", 28).join(e.docs, "doc_id").select("query_id", "rank", "doc_id", F.array_distinct(tx.tokens(F.col("text"))).alias("t"))
+    other = t.select("query_id", F.col("rank").alias("r"), F.col("doc_id").alias("doc_b"), F.col("t").alias("u"))
+    j = t.join(other, "query_id").filter("rank < r").withColumn("j", rank.overlap(F.col("t"), F.col("u"))).filter("j >= 0.83")
+    return j.select("query_id", F.col("doc_id").alias("doc_a"), "doc_b", F.round("j", 6).alias("jaccard"))
+
+
+@query(f"""WITH RECURSIVE {DEDUP}, near AS (SELECT a.query_id, a.rank AS lo, b.rank AS hi FROM dt a JOIN dt b ON a.query_id = b.query_id AND a.rank < b.rank WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.83),
+g AS (SELECT DISTINCT query_id, CAST(-1 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept FROM top UNION ALL
+  SELECT g.query_id, g.r + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE near.query_id = g.query_id AND near.hi = g.r + 1 AND list_contains(g.kept, near.lo)) THEN g.kept ELSE list_append(g.kept, g.r + 1) END FROM g JOIN top ON top.query_id = g.query_id AND top.rank = g.r + 1),
+l AS (SELECT query_id, kept FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC) = 1), k AS (SELECT query_id, unnest(kept) AS rank, unnest(range(0, len(kept))) AS new_rank FROM l)
+SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(new_rank AS INTEGER) AS new_rank FROM k JOIN top USING (query_id, rank)""")
+def jaccard_dedup(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    return rank.dedup(e.rank(asked(spark, sf_dir), "bm25", 28).join(e.docs, "doc_id"))
+
+
+@query(None)
+def mmr_rerank(spark, sf_dir):
+    e, q = engine(spark, sf_dir), asked(spark, sf_dir)
+    return rank.mmr(e.similar(e.rank(q, "bm25", 28), q))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / (sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) + 1e-9), 6)) AS unit FROM embeddings")
+def l2_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(vf.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_sum(list_transform(list_zip(d.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM embeddings d, embeddings q JOIN benchmark b ON b.item_id = q.vec_id WHERE d.vec_id <> q.vec_id)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS INTEGER) AS rank FROM s QUALIFY rank < 10""")
+def cosine_topk_exact(spark, sf_dir):
+    q = asked(spark, sf_dir).filter("qv is not null").select("query_id", "qv")
+    d = vectors_of(spark, sf_dir).join(F.broadcast(q), F.col("doc_id") != F.col("query_id"))  # a stated set of queries
+    return rank.top_k(d.select("query_id", "doc_id", F.round(vf.dot(F.col("v"), F.col("qv")), 6).alias("score")), 10)
+
+
+# ---------------------------------------------------------------- whole search and its outputs
+
+
+@query(None)
+def search(spark, sf_dir):
+    return engine(spark, sf_dir).search(asked(spark, sf_dir))
+
+
+@query(None)
+def search_filtered(spark, sf_dir):
+    return engine(spark, sf_dir).search(asked(spark, sf_dir), scope="/corpus/en", exclude=[".md"], exclude_patterns=[r"\d{5,}"], k=10)
+
+
+def plain_hits(spark, sf_dir) -> DataFrame:
+    e = engine(spark, sf_dir)
+    return e.rank(asked(spark, sf_dir), "bm25", 10).join(e.docs.select("doc_id", "path"), "doc_id").withColumn("snippet", F.lit("")).withColumn("rank_stage", F.lit("S1"))
+
+
+@query(f"""WITH {BM25} SELECT query_id, '[' || string_agg('{{"rank":' || rank || ',"path":"' || {PATH.replace('doc_id', 'd.doc_id')} || '","score":' || CAST(round(score, 4) AS VARCHAR) || ',"snippet":"","rank_stage":"S1"}}', ',' ORDER BY rank) || ']' AS payload
+FROM top JOIN documents d ON d.doc_id = top.doc_id WHERE rank < 10 GROUP BY query_id""")
+def hits_as_json(spark, sf_dir):
+    return plan.hits_json(plain_hits(spark, sf_dir))
+
+
+@query(f"WITH {BM25} SELECT query_id, '/corpus/' || lang || '/' || source AS path, CAST(min(rank) AS INTEGER) AS first_rank, count(*) AS n FROM top JOIN documents d ON d.doc_id = top.doc_id WHERE rank < 10 GROUP BY ALL")
+def hits_grouped_by_file(spark, sf_dir):
+    return plan.hits_by_file(plain_hits(spark, sf_dir).withColumn("path", F.regexp_replace("path", "/[^/]*$", "")))
+
+
+# ---------------------------------------------------------------- evaluation
+
+QRELS = "low AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), qr AS (SELECT b.item_id AS query_id, d.doc_id, CASE WHEN d.doc_id IN (SELECT doc_id FROM low) THEN 1 ELSE 2 END AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+EVAL = (
+    BM25
+    + f""",
+{QRELS},
+ideal AS (SELECT query_id, count(*) AS n_rel, sum(CASE WHEN i < 10 THEN rel / log2(i + 2) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) - 1 AS i FROM qr) GROUP BY query_id),
+hit AS (SELECT query_id, rank, rel, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM top JOIN qr USING (query_id, doc_id) WHERE rank < 10),
+got AS (SELECT query_id, sum(rel / log2(rank + 2)) AS dcg, min(rank) AS first, count(*) AS found, sum(i / (rank + 1)) AS ap FROM hit GROUP BY query_id),
+ev AS (SELECT query_id, round(coalesce(dcg / idcg, 0), 6) AS ndcg, round(coalesce(1 / (first + 1), 0), 6) AS mrr, round(coalesce(found / n_rel, 0), 6) AS recall, round(coalesce(found / 10, 0), 6) AS precision, round(coalesce(ap / n_rel, 0), 6) AS map FROM ideal LEFT JOIN got USING (query_id))"""
+)
+
+
+def evaluated(spark, sf_dir) -> DataFrame:
+    return evaluate.measures(engine(spark, sf_dir).rank(asked(spark, sf_dir), "bm25", 28), qrels_of(spark, sf_dir))
+
+
+def _mean(name: str, column: str):
+    def f(spark, sf_dir):
+        return evaluate.mean(evaluated(spark, sf_dir), column)
+
+    f.__name__ = name
+    query(f"WITH {EVAL} SELECT round(avg({column}), 6) AS {column} FROM ev")(f)
+
+
+for _n, _c in (("ndcg_at_k", "ndcg"), ("mrr_at_k", "mrr"), ("recall_at_k", "recall"), ("precision_at_k", "precision"), ("map_at_k", "map")):
+    _mean(_n, _c)
+
+
+@query(f"WITH {EVAL} SELECT CASE WHEN length(text) < 250 THEN 'short' ELSE 'long' END AS category, round(avg(ndcg), 6) AS ndcg FROM ev JOIN benchmark ON item_id = query_id GROUP BY ALL")
+def metrics_by_category(spark, sf_dir):
+    c = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.length("text") < 250, "short").otherwise("long").alias("category"))
+    return evaluate.mean(evaluated(spark, sf_dir).join(c, "query_id"), "ndcg", "category")
+
+
+@query(f"WITH {BM25}, {QRELS} SELECT round(avg(CASE WHEN query_id IN (SELECT query_id FROM top JOIN qr USING (query_id, doc_id) WHERE rank < 10) THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM (SELECT DISTINCT query_id FROM qr)")
+def hit_rate(spark, sf_dir):
+    return evaluated(spark, sf_dir).agg(F.round(F.avg((F.col("mrr") > 0).cast("double")), 6).alias("hit_rate"))
+
+
+@query(None)
+def compare_runs(spark, sf_dir):
+    e, q, r = engine(spark, sf_dir), asked(spark, sf_dir), qrels_of(spark, sf_dir)
+    return evaluate.paired_t(evaluate.measures(e.rank(q, "bm25", 28), r), evaluate.measures(e.rank(q, "hybrid", 28), r), "ndcg")
+
+
+@query(f"WITH {BM25} SELECT query_id, '/corpus/' || lang || '/' || source AS path, max(score) AS score FROM top JOIN documents d ON d.doc_id = top.doc_id GROUP BY ALL")
+def max_score_per_file(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    d = e.rank(asked(spark, sf_dir), "bm25", 28).join(e.docs, "doc_id")
+    return d.groupBy("query_id", F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(F.max("score").alias("score"))
+
+
+@query("SELECT text, min(conv_id * 1000 + turn) AS first FROM conversations WHERE NOT starts_with(text, '#') AND trim(text) <> '' GROUP BY text")
+def dedup_queries(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter(~F.col("text").startswith("#") & (F.trim("text") != ""))
+    return c.groupBy("text").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("first"))
+
+
+# ---------------------------------------------------------------- index maintenance
+
+
+@query(f"WITH {CATALOG}, {LISTING} SELECT path, size, mtime FROM lst WHERE NOT EXISTS (SELECT 1 FROM cat WHERE cat.path = lst.path AND cat.size = lst.size AND cat.mtime = lst.mtime AND version = 'v2' AND status = 'active')")
+def discover_new_files(spark, sf_dir):
+    return index.discover(listing_of(spark, sf_dir), catalog_of(spark, sf_dir), "v2").select("path", "size", "mtime")
+
+
+@query(f"WITH {CATALOG} SELECT doc_id, status, indexed_at FROM documents LEFT JOIN cat ON cat.path = {PATH} AND cat.status = 'active'")
+def left_join_catalog(spark, sf_dir):
+    c = catalog_of(spark, sf_dir).filter("status = 'active'").select("path", "status", "indexed_at")
+    return docs_of(spark, sf_dir).join(c, "path", "left").select("doc_id", "status", "indexed_at")
+
+
+@query("SELECT d.doc_id, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id AND e.label IS NOT NULL")
+def embedding_cache_lookup(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").filter("label is not null").select(F.col("vec_id").alias("doc_id"), "label")
+    return table(spark, sf_dir, "documents").select("doc_id").join(e, "doc_id")
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label + 100 FROM embeddings WHERE vec_id % 3 = 0")
+def embedding_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    new = e.filter("vec_id % 3 = 0").withColumn("label", F.col("label") + 100)
+    return index.upsert(e, new.unionByName(new.withColumn("vec_id", F.col("vec_id") + 1000000)), ["vec_id"])
+
+
+@query(f"WITH {CATALOG} SELECT file_uid, size, status FROM (SELECT file_uid, CASE WHEN mtime % 4 = 0 THEN size + 1 ELSE size END AS size, CASE WHEN mtime % 4 = 0 THEN 'active' ELSE status END AS status FROM cat)")
+def catalog_upsert(spark, sf_dir):
+    c = catalog_of(spark, sf_dir)
+    new = c.filter("mtime % 4 = 0").withColumn("size", F.col("size") + 1).withColumn("status", F.lit("active"))
+    return index.upsert(c, new, ["file_uid"]).select("file_uid", "size", "status")
+
+
+@query(f"WITH {CATALOG} SELECT file_uid, CASE WHEN mtime % 2 = 0 THEN size + 5 ELSE size END AS size FROM cat")
+def catalog_touch(spark, sf_dir):
+    c = catalog_of(spark, sf_dir)
+    seen = c.withColumn("size", F.col("size") + 5).withColumn("content_sig", F.when(F.col("mtime") % 2 == 0, F.col("content_sig")).otherwise("changed"))
+    return index.touch(c, seen).select("file_uid", "size")
+
+
+def halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("text_hash"))
+    return d.filter("id % 3 <> 0"), d.filter("id % 3 <> 1")
+
+
+HALVES = "o AS (SELECT doc_id AS id, md5(text) AS text_hash FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id AS id, md5(text) AS text_hash FROM documents WHERE doc_id % 3 <> 1)"
+
+
+@query(f"WITH {HALVES} SELECT id, text_hash FROM o WHERE text_hash NOT IN (SELECT text_hash FROM n)")
+def chunk_diff_stale(spark, sf_dir):
+    old, new = halves(spark, sf_dir)
+    return index.stale(old, new, ["text_hash"]).select("id", "text_hash")
+
+
+@query(f"WITH {HALVES} SELECT id, text_hash FROM n WHERE text_hash NOT IN (SELECT text_hash FROM o)")
+def chunk_diff_fresh(spark, sf_dir):
+    old, new = halves(spark, sf_dir)
+    return index.stale(new, old, ["text_hash"]).select("id", "text_hash")
+
+
+@query(f"WITH {CATALOG}, {LISTING} SELECT path, CASE WHEN path IN (SELECT path FROM lst) THEN status ELSE 'missing' END AS status FROM cat")
+def sweep_mark_missing(spark, sf_dir):
+    return index.mark_missing(catalog_of(spark, sf_dir), listing_of(spark, sf_dir)).select("path", "status")
+
+
+VECS = "vec AS (SELECT md5(text) AS text_hash, max(CAST(doc_id AS DOUBLE) * 86400) AS created FROM documents GROUP BY 1), chk AS (SELECT doc_id, md5(text) AS text_hash FROM documents WHERE doc_id % 4 <> 0)"
+
+
+def vector_table(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("text_hash")).agg(F.max(F.col("doc_id").cast("double") * 86400).alias("created"))
+
+
+@query(f"WITH {VECS} SELECT text_hash FROM vec WHERE text_hash IN (SELECT text_hash FROM chk) AND created >= 86400.0 * 100")
+def sweep_orphan_embeddings(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").filter("doc_id % 4 <> 0").select(F.md5("text").alias("text_hash"))
+    return index.sweep_vectors(vector_table(spark, sf_dir), c, 86400.0 * 130, 30).select("text_hash")
+
+
+@query(f"WITH {VECS} SELECT text_hash FROM vec WHERE created >= 86400.0 * 200")
+def clear_embeddings(spark, sf_dir):
+    return index.clear_vectors(vector_table(spark, sf_dir), 86400.0 * 230, 30).select("text_hash")
+
+
+@query(f"""WITH {CATALOG}, {VECS}, gone AS (SELECT file_uid FROM cat WHERE mtime % 6 = 0), c AS (SELECT 'f_' || md5({PATH}) AS file_uid, md5(text) AS text_hash FROM documents),
+l AS (SELECT * FROM c WHERE file_uid NOT IN (SELECT file_uid FROM gone))
+SELECT text_hash FROM vec WHERE text_hash IN (SELECT text_hash FROM l) OR text_hash NOT IN (SELECT text_hash FROM c)""")
+def remove_files(spark, sf_dir):
+    c = catalog_of(spark, sf_dir)
+    ch = docs_of(spark, sf_dir).select(tx.file_uid(F.col("path")).alias("file_uid"), F.md5("text").alias("text_hash"))
+    return index.remove_files(c, ch, vector_table(spark, sf_dir), c.filter("mtime % 6 = 0").select("path"))[2].select("text_hash")
+
+
+@query(f"WITH {CATALOG} SELECT path, status, CAST(row_number() OVER (ORDER BY status DESC, path) AS INTEGER) AS place FROM cat QUALIFY place <= 50")
+def catalog_list(spark, sf_dir):
+    top = catalog_of(spark, sf_dir).orderBy(F.desc("status"), "path").limit(50)  # a page of the listing
+    return top.select("path", "status", F.row_number().over(Window.orderBy(F.desc("status"), "path")).alias("place"))
+
+
+@query(f"WITH {CATALOG} SELECT count(*) FILTER (status = 'active') AS files, max(indexed_at) AS last_indexed, (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM embeddings) AS vectors FROM cat")
+def index_status(spark, sf_dir):
+    return index.status(catalog_of(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
+
+
+# ---------------------------------------------------------------- change feeds
+
+
+def feed(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("path"), F.col("event_type").alias("op"), "value")
+
+
+@query("SELECT user_id AS path, arg_max(event_type, {'t': ts, 'e': event_id}) AS op, max(ts) AS ts, count(*) AS n FROM events GROUP BY user_id")
+def change_coalesce(spark, sf_dir):
+    return changes.last_changes(feed(spark, sf_dir))
+
+
+@query("WITH s AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) <= INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS b, event_id FROM events), g AS (SELECT ts, sum(b) OVER (ORDER BY ts, event_id) AS g FROM s) SELECT min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events FROM g GROUP BY g")
+def debounce_sessions(spark, sf_dir):
+    return changes.sessions(feed(spark, sf_dir), "5 minutes")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS op, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_tumbling_window(spark, sf_dir):
+    return changes.windowed(feed(spark, sf_dir), "1 hour")
+
+
+@query("WITH e AS (SELECT *, unnest([0, 1]) AS k FROM events) SELECT time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS window_start, event_type AS op, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY ALL")
+def events_sliding_window(spark, sf_dir):
+    return changes.windowed(feed(spark, sf_dir), "1 hour", "30 minutes")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark, sf_dir)
