@@ -1,0 +1,320 @@
+"""The training-data operators against brute force, libraries and edge cases."""
+
+import collections
+import hashlib
+import html
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.llm import brown_lm, fm_index, kdtree, line_blocks, packing, parity_join, queries, repair, secrets, token_count, toxicity
+from textloom.llm.encode import PieceEncoder
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+PIECES, BYTES, WORDS = (queries.tokenizer_path(x) for x in ("piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def both(docs, edges):
+    """(name, DataFrame, its rows) of the documents and of the edge cases."""
+    return [(d, [(r.doc_id, r.text or "") for r in d.select("doc_id", "text").collect()]) for d in (docs, edges)]
+
+
+def test_token_counts_are_the_librarys(both, empty):
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=PIECES)
+    for d, rows in both:
+        got = collections.Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.count_tokens(d, PIECES).collect())
+        assert got == collections.Counter((i, len(t.encode()), n := len(sp.encode(t)), n > 4096) for i, t in rows)
+    assert token_count.count_tokens(empty, PIECES).count() == 0
+
+
+@pytest.mark.parametrize(("path", "spaces"), [(BYTES, True), (WORDS, False)])
+def test_cached_encoding_is_the_librarys(path, spaces):
+    from tokenizers import Tokenizer
+
+    lib, texts = Tokenizer.from_file(path), ["", " ", "a  b", "\n x\n\n y ", "don't 'S I'LL", "é e\u0301 İ Σς", "a  <|endoftext|> b", "x\x1c y\u00a0z\u0085", "漢字 😀!! ok."]
+    e = PieceEncoder(path, spaces, most=3)
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def ids_of(path, text, end):
+    from tokenizers import Tokenizer
+
+    return [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, end]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def test_packing_loses_nothing_and_pads_little(both, empty):
+    for d, rows in both:
+        got = packing.pack(d, BYTES).collect()
+        want = collections.Counter((i, crc(x), len(x)) for i, t in rows for x in [ids_of(BYTES, t, 1)])
+        filled = collections.defaultdict(list)
+        for r in got:
+            filled[r.sequence_id].append((r.offset, r.length))
+        for parts in filled.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        whole = collections.Counter((r.doc_id, r.ids_crc32, r.length) for r in got if r.length == r.doc_tokens)
+        assert not whole - want
+        assert sum(r.length for r in got) == sum(k[2] * n for k, n in want.items())
+        used = [sum(n for _, n in p) for p in filled.values()]
+        pad = sum(2048 - n for n in used if n & (n - 1))
+        assert pad <= 0.02 * sum(used) + 2048
+    assert packing.pack(empty, BYTES).count() == 0
+
+
+def test_packing_cuts_are_the_cheapest():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        at = np.unique(np.concatenate([[0], rng.integers(1, 60, 14), [60]]))
+        at = np.unique(np.concatenate([at, np.arange(0, 61, 9)]))
+        cost = rng.integers(0, 5, len(at)).astype(float)
+        best = [0.0]
+        for j in range(1, len(at)):
+            best.append(min(best[i] + 12 - (at[j] - at[i]) + cost[j] for i in range(j) if at[j] - at[i] <= 12))
+        chosen = packing.windows(at, cost, 12)
+        k = {p: c for p, c in zip(at.tolist(), cost.tolist(), strict=True)}
+        assert sum(12 - (b - a) + k[b] for a, b in zip(chosen, chosen[1:], strict=False)) == best[-1]
+
+
+def test_repair_files_give_back_the_ids(both, empty):
+    for d, rows in both:
+        got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in repair.encode_and_read(d, WORDS, shard_ids=20_000).collect()))
+        at = 0
+        for start, _, n, _ in got:
+            assert start == at
+            at += n
+        assert [i for _, i, _, _ in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+        assert collections.Counter(x[1:] for x in got) == collections.Counter((i, len(x), crc(x)) for i, t in rows for x in [ids_of(WORDS, t, 2)])
+    assert repair.encode_and_read(empty, WORDS).count() == 0
+
+
+def test_repair_round_trip_and_random_access():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 6, n).astype(np.uint32) for n in (1, 500, 3, 900, 40)]
+    s = repair.Shard.from_bytes(repair.Shard.build([3, None, 9, 10, 11], parts, 100, 0).to_bytes())
+    assert len(s.rules) and len(s.symbols) < 1444 and s.docs == [3, None, 9, 10, 11]
+    assert np.array_equal(s.decode(), np.concatenate(parts))
+    for k, p in enumerate(parts):
+        assert np.array_equal(s.document(k), p)
+    assert [len(repair.expand(np.array([100 + k], np.uint32), s.rules, 100)) for k in range(len(s.rules))] == s.sizes.tolist()
+
+
+def brute_spans(rows, items, size=8):
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+    grams = collections.defaultdict(set)
+    for i, t in items:
+        w = word(t or "")
+        for k in range(max(1, len(w) - size + 1)) if w else ():
+            grams[tuple(w[k : k + size])].add(str(i))
+    sizes = {len(g) for g in grams}
+    for i, t in rows:
+        w, hit, found = word(t), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if (g := tuple(w[k : k + n])) in grams:
+                    hit |= set(range(k, k + n))
+                    found |= grams[g]
+        yield i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(found) >= 2
+
+
+def test_decontamination_against_brute_force(spark, both, empty, sf):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [(901, "lazy dog"), (902, "quick brown fox jumps over the lazy dog The quick"), (903, None), (904, "")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for d, rows in both:
+        got = collections.Counter(tuple(r) for r in fm_index.digest(fm_index.find_spans(d, b)).collect())
+        assert got == collections.Counter(brute_spans(rows, items))
+        unique = d.dropDuplicates(["doc_id"])
+        many = fm_index.digest(fm_index.find_spans(unique, b, most_bytes=500))
+        assert sorted(map(str, many.collect())) == sorted(map(str, fm_index.digest(fm_index.find_spans(unique, b)).collect()))
+        again = fm_index.digest(fm_index.find_spans(fm_index.remove_spans(d, b), b)).agg(F.max("n_hit")).first()[0]
+        assert again <= 8  # what was apart may meet
+    assert fm_index.find_spans(empty, b).count() == 0
+    assert fm_index.digest(fm_index.find_spans(both[1][0], b.filter("false"))).agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_fm_index_against_scanning():
+    rng = np.random.default_rng(1)
+    text = rng.integers(0, 4, 400)
+    x = fm_index.FMIndex(text, 3)
+    for p in ([1], [2, 3], [1, 1, 2], [3, 3, 3, 3]):
+        which, lo, hi = x.count(np.array([[0] * (5 - len(p)) + p]), np.array([len(p)]))
+        want = [k for k in range(400 - len(p) + 1) if text[k : k + len(p)].tolist() == p]
+        assert sorted(x.locate(np.arange(lo[0], hi[0])).tolist()) == want if len(which) else want == []
+
+
+def groups_of(rows, k, percent):
+    sets = collections.defaultdict(list)
+    for i, t in rows:
+        w = t.translate(LOWER).encode().split()
+        sets[frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])].append(i)
+    names = list(sets)
+    root = list(range(len(names)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(names)):
+        for b in range(a):
+            if (n := len(names[a] & names[b])) and 100 * n >= percent * (len(names[a]) + len(names[b]) - n):
+                root[find(a)] = find(b)
+    least = collections.defaultdict(list)
+    for a, s in enumerate(names):
+        least[find(a)] += sets[s] if s else []
+    return collections.Counter((i, len(s), min(least[find(a)]) if s else i) for a, s in enumerate(names) for i in sets[s])
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_parity_join_against_all_pairs(both, k, percent):
+    for d, rows in both:
+        got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in parity_join.similar_groups(d, k, percent).collect())
+        assert got == groups_of([r for r in rows if r[0] is not None], k, percent)
+
+
+def test_parity_sketches_lose_no_pair():
+    rng = np.random.default_rng(2)
+    bands = parity_join.Bands(90)
+    for size in (5, 19, 40, 120, 700):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: len(a) - int(len(a) / 19)], rng.integers(0, 2**63, int(len(a) / 19)).astype(np.uint64)]))
+            n = len(np.intersect1d(a, b))
+            if 100 * n >= 90 * (len(a) + len(b) - n):
+                assert np.intersect1d(bands.keys(a), bands.keys(b)).size
+
+
+def test_large_family_is_dealt_into_tasks_that_meet_once(spark):
+    d = spark.range(1300).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("family"), (F.col("id") % 3).alias("band"), F.lit(10).cast("long").alias("n"), F.lit(1).cast("long").alias("copies"))
+    t = parity_join.blocked(d).toPandas()
+    met = collections.Counter()
+    for _, g in t.groupby("task"):
+        left, right = sorted(g.node[g.side == 0]), sorted(g.node[g.side == 1])
+        met.update((a, b) if a < b else (b, a) for a in left for b in (right or [x for x in left if x > a]))
+    assert set(met.values()) == {1}
+    assert all((a, b) in met for a in range(0, 1300, 13) for b in range(a + 1, 1300) if abs(a % 3 - b % 3) < 2)
+
+
+def test_topk_against_all_pairs(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    odd = spark.createDataFrame([(10_000, [float("nan")] * 64), (10_100, None), (10_200, [0.5] * 64), (10_300, [0.5] * 64), (10_400, [1.0, None])], "vec_id long, embedding array<double>")
+    d = e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).unionByName(odd).withColumn("g", F.lit(1))
+    rows = {r.vec_id: np.floor(1024 * np.array(r.embedding)).astype(int) for r in d.collect() if r.embedding and None not in r.embedding and np.isfinite(r.embedding).all()}
+    got = collections.defaultdict(list)
+    for r in kdtree.search_all(d, shard_rows=100, task_rows=200, query_rows=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == {i for i in rows if i % 100 == 0}
+    for q, hits in got.items():
+        assert hits == sorted(((i, int(v @ rows[q])) for i, v in rows.items() if i != q), key=lambda x: (-x[1], x[0]))[:10]
+    assert kdtree.search_all(d.filter("false")).count() == 0
+
+
+def test_brown_scores_are_a_better_model_and_base_is_exact(both, empty):
+    for d, rows in both:
+        got = collections.defaultdict(list)
+        for r in brown_lm.scores(d).collect():
+            got[r.doc_id].append(r)
+        word = lambda t: [*t.translate(LOWER).encode().split(), b"\n"]
+        count = collections.Counter(w for i, t in rows if not brown_lm.is_held_out(i) for w in word(t))
+        n, v = sum(count.values()), len(count)
+        for i, t in rows:
+            r, w = got[i][0], word(t)
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (brown_lm.is_held_out(i), len(w), sum(count[x] > 0 for x in w), n)
+            assert abs(r.base_score - sum(np.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) < 1e-5 * len(w)
+    rows = [r for d in both[:1] for r in brown_lm.scores(d[0]).collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert brown_lm.scores(empty).count() == 0
+
+
+def test_exchange_finds_alternating_classes():
+    rng = np.random.default_rng(4)
+    text = np.array([rng.integers(0, 5) + 5 * (k % 2) for k in range(4000)])
+    b = np.zeros((11, 11), dtype=np.int64)
+    np.add.at(b, (text[:-1], text[1:]), 1)
+    c = brown_lm.exchange(b, 3)
+    assert len(set(c[:5])) == 1 and len(set(c[5:])) == 1 and c[0] != c[5]
+
+
+PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies</div>
+<article><header><h1>Title &amp; more</h1></header><p>First <b>para</b>graph
+here.<p>Second.<script>var a="</p>";</script><div class="ad">Buy</div><p>Third <span class="ad">no</span> end.</article>
+<div id="comments"><p>Nice post</p></div><form><input value=q>Search</form><footer>&copy; me</footer></body></html>"""
+
+
+def test_line_blocks_on_pages(spark, sf, empty):
+    assert line_blocks.extract(PAGE) == "Title & more First paragraph here. Second. Third end."
+    soup = "<div><a href=1>Home</a></div>" + "".join(f"<div>{'A sentence of real text that goes on. ' * 4}</div>" for _ in range(5)) + "<div class=footer>foot</div>"
+    assert line_blocks.extract(soup).count("sentence") == 20 and "Home" not in line_blocks.extract(soup)
+    assert line_blocks.extract(None) == line_blocks.extract("") == line_blocks.extract("<nav>x</nav>") == ""
+    assert line_blocks.extract("<p>unclosed <b>bold") == "unclosed bold"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    for r, h in ((r, h) for r, h in zip(line_blocks.extract_pages(pages).orderBy("page_id").collect(), pages.orderBy("page_id").collect(), strict=True)):
+        body = re.search(r"<article>(.*?)</article>", h.html, re.S)[1]
+        assert r.text == " ".join(html.unescape(x).strip() for x in re.split(r"</?(?:h1|p|b|br)>", body) if x.strip()) and r.n_chars == len(r.text)
+    odd = spark.createDataFrame([(1, "u", None, 1), (None, None, "<p>a</p>", 2)], "page_id long, url string, html string, text long")
+    assert {(r.page_id, r.text) for r in line_blocks.extract_pages(odd).collect()} == {(1, ""), (None, "a")}
+
+
+def test_toxicity_on_held_out_rows(spark, edges, empty):
+    d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(d, y).join(y, "doc_id").filter("held_out").select("predicted", "toxic").collect()
+    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.85
+    bad = [r for r in got if r.toxic == 1]
+    assert sum(r.predicted for r in bad) >= 0.5 * len(bad)
+    assert toxicity.score(edges, y).count() == edges.count() and toxicity.score(empty, y).count() == 0
+    assert len({r.score for r in toxicity.score(d, y.filter("false")).collect()}) == 1
+
+
+def test_secrets_native_scan_against_python(spark, edges, empty):
+    key, sha = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "2aae6c35c94fcfb415dbe95f408b9ce91ee846ed"
+    texts = [f'x token = "{key}" y', f"see commit {sha} of", "AKIA" + "Q7ZP4M2K9X8R5T3W" + " is", "plain words only", None, "", f"password: hunter2hunter2\n{sha}", "😀é " + f'secret="{key}" 😀']
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secrets.findings(d).collect()
+    for r in got:
+        piece = texts[r.doc_id][r.start : r.start + r.length]
+        assert hashlib.sha256(piece.encode()).hexdigest() == r.secret_sha256
+    assert {(r.doc_id, r.kept) for r in got} >= {(0, True), (1, False), (2, True), (7, True)}
+    out = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    assert out[0] == 'x token = "[SECRET]" y' and out[1] == texts[1] and out[4] is None and out[7] == '😀é secret="[SECRET]" 😀'
+    assert secrets.redact(edges).columns == edges.columns and secrets.redact(empty).count() == 0
+    assert sorted(map(str, secrets.redact(edges).collect())) == sorted(map(str, edges.collect()))
+
+
+def test_pipeline_stage_by_stage(spark, docs, sf):
+    import corpus_pipeline as cp
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = docs
+    for name, stage in cp.STAGES[:-1]:
+        out = spark.createDataFrame(stage(spark, held, sf).collect(), docs.schema)
+        before, after = ({r.doc_id: r.text for r in x.collect()} for x in (held, out))
+        assert out.columns == docs.columns and set(after) <= set(before)
+        if name == "toxicity":
+            want = {r.doc_id for r in toxicity.score(held, labels).filter("predicted = 0").collect()}
+        elif name == "near_duplicates":
+            want = {c for _, _, c in groups_of(before.items(), 5, 80)}
+        else:
+            want = set(before)
+        assert set(after) == want
+        if name in ("toxicity", "near_duplicates"):
+            assert all(after[i] == before[i] for i in after)
+        held = out
+    assert packing.pack(held, BYTES).select("doc_id").distinct().count() == held.count()

@@ -124,7 +124,7 @@ def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarra
             m[c, :] -= r
             m[:, c] -= l
             m[c, c] -= self_
-            out, into = m.sum(axis=1), m.sum(axis=0)
+            out, into = m.sum(axis=1) + l, m.sum(axis=0) + r  # each class's words but w, as predecessors and followers
             gain = h(m + r[None, :]) - h(m)
             gain2 = h(m + l[:, None]) - h(m)
             d = np.diag(m)
