@@ -463,10 +463,11 @@ al AS (SELECT query_id, doc_id FROM (
 )
 
 
-@query(f"WITH {PRF} SELECT query_id, term, s AS score, CAST(term_rank AS INTEGER) AS term_rank FROM px")
+@query(f"WITH {PRF} SELECT query_id, term, round(s, 2) AS score, CAST(term_rank AS INTEGER) AS term_rank FROM px")
 def prf_terms(spark, sf_dir):
     e = engine(spark, sf_dir)
-    return rank.prf_terms(e.rank(asked(spark, sf_dir), "bm25", 28), asked(spark, sf_dir), e.posted)
+    terms = rank.prf_terms(e.rank(asked(spark, sf_dir), "bm25", 28), asked(spark, sf_dir), e.posted)
+    return terms.withColumn("score", F.round("score", 2))
 
 
 @query(f"WITH {PRF} SELECT query_id, doc_id FROM al")

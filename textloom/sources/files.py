@@ -108,6 +108,8 @@ def read_files(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 def is_text(content: Column) -> Column:
     """No NUL, valid UTF-8 and mostly printable, in the first 8 KB."""
-    head = F.substring(content, 1, 8192).cast("string")
+    first = F.substring(content, 1, 8192)
+    head = F.regexp_replace(F.decode(first, "ISO-8859-1"), r"[\xC0-\xFF][\x80-\xBF]{0,2}$", "")  # a character that the cut may have split
+    head = F.when(F.length(content) > 8192, F.encode(head, "ISO-8859-1")).otherwise(first).cast("string")
     odd = F.length(F.regexp_replace(head, r"[^\x00-\x08\x0E-\x1F\x7F]", ""))
     return F.is_valid_utf8(head) & (F.instr(head, "\u0000") == 0) & ((F.length(head) - odd) / F.greatest(F.length(head), F.lit(1)) > 0.7)
