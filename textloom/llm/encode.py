@@ -2,17 +2,32 @@
 
 A text is cut before each space that a character other than white space follows. Byte-level and
 word-level pre-tokenisers always cut there, so the ids of the pieces, joined, are the ids of the text;
-only pieces not met before reach the library.
+only pieces not met before reach the library. A piece of letters, or of letters and one mark after them,
+goes straight to the library's BPE model, since pre-tokenisers keep letters together.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
 
 
+_LATIN = re.compile("[A-Za-z\u00c0-\u012f\u0131-\u024f]+")
+_SPACES = re.compile(r" (?:\s|\Z)")
+_MARKS = frozenset(".,;:!?")
+
+
+def _byte_chars() -> list[str]:
+    """Byte-level vocabularies' character of each byte: printable Latin-1 is itself, the rest follow U+0100 in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class PieceEncoder:
     """encode(texts) gives the ids of each text as little-endian unsigned 32-bit bytes.
 
@@ -20,7 +35,7 @@ class PieceEncoder:
     space is dropped and a piece's ids don't depend on it.
     """
 
-    def __init__(self, path: str, keep_spaces: bool, most: int = 400_000):
+    def __init__(self, path: str, keep_spaces: bool, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -29,14 +44,35 @@ class PieceEncoder:
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.chars = _byte_chars()
+
+    def _letters(self, piece: str) -> bytes | None:
+        """Ids of a piece of letters with or without a mark after them; None for other pieces."""
+        lead, word = ("\u0120", piece[1:]) if self.keep_spaces and piece[0] == " " else ("", piece)
+        mark = word[-1:] if word[-1:] in _MARKS else ""
+        core = word[: len(word) - len(mark)]
+        if not _LATIN.fullmatch(core):
+            return None
+        if not self.keep_spaces:
+            core = core.lower()
+            if not core.isascii() and not unicodedata.is_normalized("NFC", core):
+                return None
+        mapped = core if core.isascii() else "".join([self.chars[b] for b in core.encode()])
+        ids = [t.id for t in self.lib.model.tokenize(lead + mapped)]
+        if mark:
+            ids += [t.id for t in self.lib.model.tokenize(mark)]
+        return np.array(ids, dtype="<u4").tobytes()
 
     def _ids(self, pieces: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(list(pieces), add_special_tokens=False)]
 
     def _cut(self, text: str) -> list[str]:
-        parts = text.split(" ")
         if not self.keep_spaces:
-            return parts
+            return text.split(" ")
+        if "\0" not in text and not _SPACES.search(text):
+            return text.replace(" ", "\0 ").split("\0")
+        parts = text.split(" ")
         out = [parts[0]]
         for p in parts[1:]:
             if p and not p[0].isspace():
@@ -47,12 +83,20 @@ class PieceEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known = {"": b""}
-        known = self.known
+            self.older, self.known = self.known, {"": b""}
+        known, older = self.known, self.older
         whole = {i for i, t in enumerate(texts) if self.keep_spaces and any(s in t for s in self.special)}
         cut = [[] if i in whole else self._cut(t) for i, t in enumerate(texts)]
-        fresh = list({p for c in cut for p in c if p not in known})
+        fresh = []
         own: dict[str, bytes] = {}
+        for p in set().union(*cut).difference(known):
+            b = older.get(p)
+            if b is None and len(p) <= 64:
+                b = self._letters(p)
+            if b is None:
+                fresh.append(p)
+            else:
+                known[p] = b
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
             for p, b in zip(part, self._ids(part), strict=True):
