@@ -15,6 +15,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .files import extension_of
 
@@ -57,7 +58,7 @@ def csv_text(text: Column, delimiter: str = ",", rows: int = 100) -> Column:
     return F.when(F.contains(text, F.lit('"')), _csv(text, F.lit(delimiter), F.lit(rows))).otherwise(F.trim(simple))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _csv(text: pd.Series, delimiter: pd.Series, rows: pd.Series) -> pd.Series:
     def one(t, d, n):
         return None if t is None else " ".join(c for r, _ in zip(csv.reader(io.StringIO(t), delimiter=d), range(int(n)), strict=False) for c in r).strip()
@@ -161,7 +162,7 @@ def pdf_text(raw: bytes) -> str:
 _BINARY = {".eml": mail_text, ".docx": docx_text, ".pptx": pptx_text, ".xlsx": xlsx_text, ".pdf": pdf_text}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _binary(content: pd.Series, ext: pd.Series) -> pd.Series:
     def one(c, e):
         try:
