@@ -759,4 +759,4 @@ def events_sliding_window(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(spark, sf_dir)
+    return search_hybrid(spark, sf_dir)
