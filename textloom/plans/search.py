@@ -11,6 +11,7 @@ from textloom.config import SearchConfig
 from textloom.functions.text import extension_filter, keywords, matches_none, snippet, tokens
 from textloom.functions.vectors import cosine
 from textloom.operators import index, rank
+from textloom.session import stored
 
 
 @dataclass
@@ -20,12 +21,21 @@ class Engine:
     docs: DataFrame
     vectors: DataFrame | None = None
     config: SearchConfig = SearchConfig()
+    kept: bool = False
 
     def __post_init__(self):
         self.posted = index.postings(self.docs, "doc_id")
         self.vocab = index.document_frequency(self.posted)
         self.stats = index.corpus_stats(self.docs, "doc_id")
 
+    def built(self) -> Engine:
+        """The same with its index as stored tables: a search reads them many times."""
+        if not self.kept:
+            self.posted = stored(self.posted, "postings")
+            self.vocab, self.stats = stored(index.document_frequency(self.posted), "vocabulary"), stored(self.stats, "stats")
+            self.kept = True
+        return self
+
     def scoped(self, scope: str | None = None, include=(), exclude=()) -> DataFrame:
         d = self.docs.filter(extension_filter(F.col("path"), include, exclude))
         return d if scope is None else d.filter((F.col("path") == scope) | F.col("path").startswith(scope.rstrip("/") + "/"))
@@ -87,14 +97,14 @@ class Engine:
         Queries without a match give no rows. Stages: S1, only numbers asked for; S1_embed_fail, no query
         vector; S3_RRF or S3_MMR.
         """
-        c = self.config
+        c = self.built().config
         inside = self.scoped(scope, include, exclude).select("doc_id", "path", "text")
         posted = self.posted.join(inside.select("doc_id"), "doc_id", "left_semi")
-        keys = self.keys(queries).filter(F.size("keys") > 0)
-        first = self.match(keys, posted, c.first_k)
+        keys = stored(self.keys(queries).filter(F.size("keys") > 0), "keys")
+        first = stored(self.match(keys, posted, c.first_k), "first")
         found = self.expand(queries, keys, posted, first).filter(F.col("rank") < c.rerank_k)
         terms = rank.bm25(queries, posted, self.vocab, self.stats, c.k1, c.b)
-        top = rank.top_k(found.select("query_id", "doc_id").join(terms, ["query_id", "doc_id"]), c.rerank_k).join(inside, "doc_id")
+        top = stored(rank.top_k(found.select("query_id", "doc_id").join(terms, ["query_id", "doc_id"]), c.rerank_k).join(inside, "doc_id"), "top")
         kept = rank.dedup(top, c.jaccard).select("query_id", "doc_id", F.col("new_rank").alias("b_rank"))
         d = top.drop("rank").join(kept, ["query_id", "doc_id"]).withColumn("bm25", rank.minmax(F.col("score"))).drop("score")
         d = self.embed_rank(self.similar(d, queries)).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
@@ -107,6 +117,7 @@ class Engine:
         d = d.withColumn("score", F.round(F.when(plain, F.col("bm25")).otherwise(fused), 6))
         share = F.avg((F.col("sim") > 0).cast("double")).over(Window.partitionBy("query_id"))
         d = d.withColumn("covered", share >= 0.9).withColumn("diverse", ~plain & F.col("covered") & (F.col("n") > c.final_k))
+        d = stored(d, "scored")
         chosen = rank.mmr(d.filter("diverse"), c.mmr_lambda, c.final_k)
         straight = rank.top_k(d.filter("not diverse").select("query_id", "doc_id", "score"), c.final_k).select("query_id", "doc_id", F.col("rank").alias("mmr_rank"))
         stage = F.when(F.col("numeric"), "S1").when(~F.col("asked"), "S1_embed_fail").when(F.col("covered"), "S3_MMR").otherwise("S3_RRF")

@@ -497,7 +497,7 @@ def vector_coverage(spark, sf_dir):
 
 
 DEDUP = BM25 + f""",
-dt AS (SELECT query_id, rank, top.doc_id, list_distinct({TOK.format('text')}) AS t FROM top JOIN documents d ON d.doc_id = top.doc_id)"""
+dt AS MATERIALIZED (SELECT query_id, rank, top.doc_id, list_distinct({TOK.format('text')}) AS t FROM top JOIN documents d ON d.doc_id = top.doc_id)"""
 
 
 @query(f"WITH {DEDUP} SELECT a.query_id, a.doc_id AS doc_a, b.doc_id AS doc_b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM dt a JOIN dt b ON a.query_id = b.query_id AND a.rank < b.rank WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.83")
@@ -509,7 +509,7 @@ def jaccard_pairs(spark, sf_dir):
     return j.select("query_id", F.col("doc_id").alias("doc_a"), "doc_b", F.round("j", 6).alias("jaccard"))
 
 
-@query(f"""WITH RECURSIVE {DEDUP}, near AS (SELECT a.query_id, a.rank AS lo, b.rank AS hi FROM dt a JOIN dt b ON a.query_id = b.query_id AND a.rank < b.rank WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.83),
+@query(f"""WITH RECURSIVE {DEDUP}, near AS MATERIALIZED (SELECT a.query_id, a.rank AS lo, b.rank AS hi FROM dt a JOIN dt b ON a.query_id = b.query_id AND a.rank < b.rank WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.83),
 g AS (SELECT DISTINCT query_id, CAST(-1 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept FROM top UNION ALL
   SELECT g.query_id, g.r + 1, CASE WHEN EXISTS (SELECT 1 FROM near WHERE near.query_id = g.query_id AND near.hi = g.r + 1 AND list_contains(g.kept, near.lo)) THEN g.kept ELSE list_append(g.kept, g.r + 1) END FROM g JOIN top ON top.query_id = g.query_id AND top.rank = g.r + 1),
 l AS (SELECT query_id, kept FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC) = 1), k AS (SELECT query_id, unnest(kept) AS rank, unnest(range(0, len(kept))) AS new_rank FROM l)
