@@ -556,7 +556,7 @@ def plain_hits(spark, sf_dir) -> DataFrame:
     return e.rank(asked(spark, sf_dir), "bm25", 10).join(e.docs.select("doc_id", "path"), "doc_id").withColumn("snippet", F.lit("")).withColumn("rank_stage", F.lit("S1"))
 
 
-@query(f"""WITH {BM25} SELECT query_id, '[' || string_agg('{{"rank":' || rank || ',"path":"' || {PATH.replace('doc_id', 'd.doc_id')} || '","score":' || CAST(round(score, 4) AS VARCHAR) || ',"snippet":"","rank_stage":"S1"}}', ',' ORDER BY rank) || ']' AS payload
+@query(f"""WITH {BM25} SELECT query_id, '[' || string_agg('{{"rank":' || rank || ',"path":"' || {PATH.replace('doc_id', 'd.doc_id')} || '","score":' || CAST(CAST(round(CAST(score AS DECIMAL(18, 6)), 4) AS DOUBLE) AS VARCHAR) || ',"snippet":"","rank_stage":"S1"}}', ',' ORDER BY rank) || ']' AS payload
 FROM top JOIN documents d ON d.doc_id = top.doc_id WHERE rank < 10 GROUP BY query_id""")
 def hits_as_json(spark, sf_dir):
     return plan.hits_json(plain_hits(spark, sf_dir))
