@@ -199,7 +199,10 @@ def test_parity_sketches_lose_no_pair():
             b = np.unique(np.concatenate([a[: len(a) - int(len(a) / 19)], rng.integers(0, 2**63, int(len(a) / 19)).astype(np.uint64)]))
             n = len(np.intersect1d(a, b))
             if 100 * n >= 90 * (len(a) + len(b) - n):
-                assert np.intersect1d(bands.keys(a), bands.keys(b)).size
+                both = np.union1d(a, b)
+                for share in (0, 0.2, 0.5, 0.9, 1):
+                    hot = np.sort(rng.permutation(both)[: int(share * len(both))])
+                    assert np.intersect1d(bands.keys(a, hot), bands.keys(b, hot)).size
 
 
 def test_large_family_is_dealt_into_tasks_that_meet_once(spark):
