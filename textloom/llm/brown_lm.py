@@ -28,8 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, batch, blocks, materialize, pairs, partitions, texts
-from .parity_join import _words
+from .common import LOWER, batch, blocks, materialize, pairs, partitions, texts, word_hashes
 
 END = b"\n"  # no word holds it
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -70,7 +69,7 @@ def corpus(docs: DataFrame, block_bytes: int = 6_000_000) -> DataFrame:
                 w.append(END)
                 words += w
                 sizes.append(len(w))
-            h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+            h = word_hashes(words)
             vocab, ids = np.unique(h, return_inverse=True)
             train = np.repeat([not is_held_out(i) for i, _ in held], sizes)
             counts = np.bincount(ids[train], minlength=len(vocab))
@@ -165,7 +164,7 @@ def core_words(made: DataFrame, size: int, least: int = 32) -> np.ndarray:
 
 def core_bigrams(made: DataFrame, core: np.ndarray) -> np.ndarray:
     """Counts of followers among the core and, as one word, all others. Bounded by the core's size."""
-    n, end = len(core) + 1, _words[END]
+    n, end = len(core) + 1, int(word_hashes([END])[0])
     row = pa.schema([("id", pa.int32()), ("v", pa.binary())])
 
     def run(batches):
@@ -204,7 +203,7 @@ def answers(made: DataFrame, core: np.ndarray, classes: np.ndarray, m: np.ndarra
     pull = np.concatenate([np.log(q), np.log(p).T])  # by predecessor's class, then by follower's: for each class of the word
     asked = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("vocab", pa.binary()), ("counts", pa.binary()), ("near", pa.binary())])
     told = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("cls", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
-    end = _words[END]
+    end = int(word_hashes([END])[0])
 
     def ask(batches):
         for b in batches:
@@ -259,7 +258,7 @@ def answers(made: DataFrame, core: np.ndarray, classes: np.ndarray, m: np.ndarra
 def resolved(made: DataFrame, told: DataFrame, core: np.ndarray, classes: np.ndarray, totals: np.ndarray, k: int) -> DataFrame:
     """The blocks with class and count of each of their words, and their counts of class transitions."""
     schema = pa.schema([("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary()), ("cls", pa.binary()), ("counts", pa.binary()), ("moves", pa.binary())])
-    end = _words[END]
+    end = int(word_hashes([END])[0])
 
     def run(batches):
         for b in batches:

@@ -98,5 +98,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word. Hashing is quicker than a look-up in a large table, and holds no memory."""
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -53,7 +53,7 @@ class Model:
     def hits(self, word: str) -> tuple[int, ...]:
         found = self._seen.get(word)
         if found is None:
-            if len(self._seen) > 500_000:
+            if len(self._seen) > 100_000:
                 self._seen.clear()
             found = self._seen[word] = tuple(self.lexicon[e] for e in entries(word) if e in self.lexicon)
         return found
