@@ -1,7 +1,7 @@
 """Secret scans by patterns and a random forest, with DataFrame expressions only.
 
 A pattern finds candidates: private key blocks, web tokens, values assigned to names such as password,
-and long runs of token characters with a digit. For each candidate, expressions measure its length,
+tokens with a known prefix, and long runs of token characters with a digit, after "=" or "." too. For each candidate, expressions measure its length,
 character transitions, coverage by dictionary words, path and neighbouring words. A random forest, trained
 on labelled findings and written as a sum of CASE expressions, drops false positives.
 
@@ -23,8 +23,13 @@ _NAMES = r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?ke
 _ASSIGN = _NAMES + r"[\"']?\s{0,3}[:=]{1,2}>?\s{0,3}[\"']?"
 _PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]{0,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----"
 _JWT = r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"
-_RUN = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
-CANDIDATE = f"{_PEM}|{_JWT}|{_ASSIGN}[^\\s\"',;]{{8,}}|{_RUN}"
+_PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk[-_]|rk_live|AIza|ya29|npm_|SG\.)"
+# One alternative for each prefix of KNOWN; eyJ and -----BEGIN are _JWT and _PEM.
+_PREFIXED = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{12,}|gh[pousr]_[A-Za-z0-9_]{16,}|github_pat_[A-Za-z0-9_]{16,}|glpat-[A-Za-z0-9_-]{16,}|xox[abeprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{16,}|rk_live[A-Za-z0-9_]{16,}|AIza[A-Za-z0-9_-]{16,}|ya29[A-Za-z0-9._-]{16,}|npm_[A-Za-z0-9]{16,}|SG\.[A-Za-z0-9._-]{16,})"
+# A run ends before a known prefix, so that a path doesn't swallow the token at its end.
+_ON = rf"(?![+/_-]{_PREFIX})"
+_RUN = rf"(?<![A-Za-z0-9+/_-])(?=(?:{_ON}[A-Za-z+/_-]){{0,200}}+[0-9])(?:{_ON}[A-Za-z0-9+/_-]){{16,}}+={{0,2}}"
+CANDIDATE = f"{_PEM}|{_JWT}|{_ASSIGN}[^\\s\"',;]{{8,}}|{_PREFIXED}|{_RUN}"
 KNOWN = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk[-_]|rk_live|AIza|ya29|eyJ|-----BEGIN|npm_|SG\.)"
 # Words that real identifiers, paths and placeholders are made of.
 WORDS = "about access account admin after api app asset auth backup base before build cache class client cloud code commit common config content core data date default demo dev document domain dummy email error event example file first folder form format from function group guide hash head home host html image index info install item java json last layout library line link list local login main manager master media menu message model module name network node note number object order output page part password path plugin post process product profile project public query release report request response result root sample schema script search server service session setting site source stage static status style system table target team template test text theme thread time title token type update upload url user util value version video view web widget word world your".split()
@@ -66,6 +71,7 @@ def labelled(seed: int = 7, each: int = 24) -> list[tuple[str, str, str, int]]:
     prose = ["and then the ", "see also ", "in this ", "we have ", "here is the ", "of that "]
     names = ["token = \"", "password: ", "secret='", "api_key=", "apiKey: \"", "SECRET_KEY = \"", "auth_key := ", "access_key=", "pwd=", "credentials: \""]
     others = ["commit ", "sha256: ", "md5 = ", "checksum ", "uuid: ", "etag \"", "revision ", "integrity=\"", "order no. ", "invoice: ", "image: ", "version ", "card ", "phone "]
+    settings = ["AWS_ACCESS_KEY_ID=", "GITHUB_PAT=", "STRIPE_KEY=", "export CI_KEY=", "https://site.org/maps?key=", "env.", "KEY: ", "https://site.org/hook/"]
     words = lambda n, sep: sep.join(r.choice(WORDS) for _ in range(n))
     out = []
     for _ in range(each):
@@ -77,6 +83,8 @@ def labelled(seed: int = 7, each: int = 24) -> list[tuple[str, str, str, int]]:
             (pick(both, r.randint(9, 15)) + "7!", text + name, "\n", 1),
             ("AKIA" + pick(string.ascii_uppercase + string.digits, 16), text, " is", 1),
             (r.choice(("ghp_", "sk_live_", "xoxb-", "glpat-", "AIza")) + pick(both, 36), text, " ", 1),
+            (r.choice(("AKIA", "ASIA")) + pick(string.ascii_uppercase + string.digits, 16), text + r.choice(settings), r.choice(("\n", " ", "&")), 1),
+            (r.choice(("ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "sk_live_", "sk-", "rk_live_", "AIza", "ya29.", "npm_", "SG.")) + pick(both, 32), text + r.choice(settings), r.choice(("\n", " ", "&")), 1),
             ("eyJ" + pick(both, 30) + "." + pick(both, 40) + "." + pick(both, 30), r.choice((text, "Bearer ")), " ", 1),
             ("-----BEGIN RSA PRIVATE KEY-----\n" + pick(both + "+/", 300) + "\n-----END RSA PRIVATE KEY-----", text, "\n", 1),
             (pick(both + "+/", 40), text + name, "\"", 1),
@@ -89,6 +97,9 @@ def labelled(seed: int = 7, each: int = 24) -> list[tuple[str, str, str, int]]:
             (words(4, "/") + "/" + str(r.randint(1, 2000)), text + r.choice(("path ", "", "https://site.org/")), r.choice((".html", ".js", " ")), 0),
             (words(3, "-") + f"-{r.randint(1990, 2030)}-{r.randint(10, 12)}", text + "/", r.choice(("/", ".html", " ")), 0),
             (r.choice(("your-token-here-123", "changeme1234567", "xxxxxxxxxxxxxxxx1234", "example-key-12345678", "<your-api-key-1>", "aaaaaaaaaaaaaaaa1111")), text + name, "\"", 0),
+            (words(3, "/") + "/" + str(r.randint(1, 99999)), text + "https://www.site.", r.choice((".html", " ", "?")), 0),
+            (words(2, "-") + "-" + pick(string.digits, 6), text + r.choice(("https://site.org/?page=", "?id=", "class=", "file=")), r.choice(("&", " ", "\"")), 0),
+            ("sk" + r.choice("-_") + words(4, "-"), text, " ", 0),
             (words(1, "") + "_" + words(1, "") + "1", text + name, "\n", 0),
             (pick("abdehinorst", r.randint(15, 24)) + pick(string.digits, 1), text, r.choice((" ", ". ")), 0),
             (pick("abdehinorst", r.randint(6, 14)) + "-" + pick("abdehinorst", 6) + pick(string.digits, 2), text, " in", 0),
