@@ -256,6 +256,30 @@ def test_exchange_finds_alternating_classes():
     assert len(set(c[:5])) == 1 and len(set(c[5:])) == 1 and c[0] != c[5]
 
 
+def test_core_and_classes_cover_rare_words_in_small_blocks(spark):
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{(i + k) % 40}" for k in range(30))) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    cores = [brown_lm.core_words(brown_lm.corpus(d.repartition(n)), 30) for n in (1, 50)]
+    assert len(cores[0]) == 30 and np.array_equal(*cores)
+    got = [sorted(r.score for r in brown_lm.scores(d.repartition(n), n_classes=4).collect()) for n in (1, 50)]
+    assert np.allclose(*got)
+
+
+def test_a_sweep_moves_frequent_and_rare_words_by_their_neighbours():
+    rng = np.random.default_rng(6)
+    text = np.array([rng.choice(20, p=np.arange(20, 0, -1) / 210) + 20 * (k % 2) for k in range(6000)])
+    own = rng.integers(0, 2, 40)
+    for _ in range(6):
+        near = np.zeros((40, 5))
+        np.add.at(near, (text[1:], own[text[:-1]]), 1)
+        np.add.at(near, (text[:-1], 2 + own[text[1:]]), 1)
+        np.add.at(near, (text[1:][text[1:] == text[:-1]], 4), 1)
+        m = np.zeros((2, 2))
+        np.add.at(m, (own[text[:-1]], own[text[1:]]), 1)
+        own = brown_lm.exchange_shard(near, own, m, step=1)
+    assert len(set(own[:20])) == 1 and len(set(own[20:])) == 1 and own[0] != own[20]
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies</div>
 <article><header><h1>Title &amp; more</h1></header><p>First <b>para</b>graph
 here.<p>Second.<script>var a="</p>";</script><div class="ad">Buy</div><p>Third <span class="ad">no</span> end.</article>

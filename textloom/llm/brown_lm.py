@@ -7,10 +7,13 @@ log10 P(text) sums, over its words and an end mark, log10 P(w | previous word),
 and u(v) = P(unknown | class(v)) for the one type that stands for all unknown words, estimated from the
 words seen once (the chance of a new word). Sums are proper over the known words and the unknown type.
 
-Classes come from exchange clustering: the most frequent words (`core`, a fixed number) are moved, one at
-a time, to the class that most raises the class bigram likelihood, until none moves; each other training
-word is then exchanged once into its best class, given all its neighbours in the corpus. All counts
-(words, bigrams, contexts, class transitions) cover all training rows.
+Classes come from exchange clustering. It starts from the most frequent words (`core`, a fixed number, by
+their counts over all training rows), which are moved on the driver, one at a time, to the class that most
+raises the class bigram likelihood, until none moves; all other words are one class then. Sweeps over the
+whole training vocabulary follow, the core included: a sweep takes the class totals anew from the corpus,
+and each shard of words moves its own, given all their neighbours' classes. Sweeps end when no word moves,
+or one raises the likelihood by under a thousandth of what all have, or after `most_sweeps`; one that
+lowers it is taken back. All counts cover all training rows.
 
 The corpus is written once as blocks: a vocabulary of word hashes and the ids of the words. What a block
 asks about its words (class, count) is dealt by hash to where all blocks' counts of a word meet; the
@@ -24,7 +27,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,9 +104,10 @@ def place(core: np.ndarray, vocab: np.ndarray) -> np.ndarray:
     return np.where(core[at] == vocab, at, len(core)) if len(core) else np.zeros(len(vocab), dtype=np.int64)
 
 
-def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarray:
+def exchange(bigrams: np.ndarray, n_classes: int) -> np.ndarray:
     """Classes of the first len-1 words of a bigram count matrix; its last word (all others) keeps a class
-    of its own, the last one. Words start dealt by frequency; a sweep moves each word once."""
+    of its own, the last one. Words start dealt in turn; a sweep moves each word once, and
+    sweeps go on until none moves. Each move raises the likelihood by more than rounding can, so they end."""
     n = len(bigrams) - 1
     own = np.append(np.arange(n) % max(1, n_classes - 1), n_classes - 1)
     b = bigrams.astype(np.float64)
@@ -112,7 +116,9 @@ def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarra
     m = hot.T @ b @ hot
     h = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
     rows, cols = b @ hot, b.T @ hot  # of each word: followers, predecessors by class
-    for _ in range(sweeps):
+    least = 1e-9 + 1e-13 * float(h(b.sum()))
+    moved = 1
+    while moved:
         moved = 0
         for w in range(n):
             c, r, l, self_ = own[w], rows[w].copy(), cols[w].copy(), b[w, w]
@@ -131,7 +137,7 @@ def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarra
             best -= h(out + r.sum() + self_) - h(out) + h(into + l.sum() + self_) - h(into)
             best[-1] = -np.inf
             to = int(np.argmax(best))
-            if best[to] <= best[c] + 1e-9:
+            if best[to] <= best[c] + least:
                 to = c
             m[to, :] += r
             m[:, to] += l
@@ -143,20 +149,18 @@ def exchange(bigrams: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarra
                 rows[:, to] += b[:, w]
                 cols[:, c] -= b[w, :]
                 cols[:, to] += b[w, :]
-        if not moved:
-            break
     return own[:n]
 
 
-def core_words(made: DataFrame, size: int, least: int = 32) -> np.ndarray:
-    """Hashes, sorted, of at most `size` of the words that come `least` times in some block, by those counts."""
+def core_words(made: DataFrame, size: int) -> np.ndarray:
+    """Hashes, sorted, of the `size` most frequent training words, by their counts over all blocks."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         for b in batches:
             for vocab, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 v, n = np.frombuffer(vocab, np.int64), unpack(counts, np.uint32).astype(np.int64)
-                yield batch(schema, v[n >= least], n[n >= least])
+                yield batch(schema, v[n > 0], n[n > 0])
 
     top = made.select("vocab", "counts").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(size).collect()
     return np.sort(np.array([r.h for r in top], dtype=np.int64).view(np.uint64))
@@ -193,38 +197,110 @@ def core_bigrams(made: DataFrame, core: np.ndarray) -> np.ndarray:
     return out
 
 
-def answers(made: DataFrame, core: np.ndarray, classes: np.ndarray, m: np.ndarray, n_shards: int) -> DataFrame:
-    """(block, shard, cls, counts, n, v): of each block's words outside the core, by hash: class and
-    training count in the corpus. n, v: training tokens and types of the shard, in one of its rows."""
+def exchange_shard(near: np.ndarray, own: np.ndarray, m: np.ndarray, step: int = 256) -> np.ndarray:
+    """New classes of words, given for each how often each class comes before it (k columns) and after it (k),
+    and how often it follows itself; m: class bigrams of the corpus. Gains are those of exchange(); m takes
+    up the moves after each `step` words."""
+    k, m, own = len(m), m.astype(np.float64), own.astype(np.int64)
+    h = lambda x: x * np.log(np.maximum(x, 1e-300))
+    least = 1e-9 + 1e-13 * float(h(m.sum()))
+    for a in range(0, len(own), step):
+        x, c = near[a : a + step].astype(np.float64), own[a : a + step]
+        at, self_ = np.arange(len(c)), x[:, 2 * k]
+        l, r = x[:, :k].copy(), x[:, k : 2 * k].copy()
+        l[at, c] -= self_
+        r[at, c] -= self_
+        rest = np.repeat(m[None], len(c), axis=0)
+        rest[at, c, :] -= r
+        rest[at, :, c] -= l
+        rest[at, c, c] -= self_
+        rest = np.maximum(rest, 0)
+        held, d = h(rest), np.einsum("wii->wi", rest)
+        out, into = rest.sum(axis=2) + l, rest.sum(axis=1) + r
+        gain, gain2 = h(rest + r[:, None, :]) - held, h(rest + l[:, :, None]) - held
+        best = gain.sum(axis=2) - np.einsum("wii->wi", gain) + gain2.sum(axis=1) - np.einsum("wii->wi", gain2) + h(d + r + l + self_[:, None]) - h(d)
+        best -= h(out + (r.sum(axis=1) + self_)[:, None]) - h(out) + h(into + (l.sum(axis=1) + self_)[:, None]) - h(into)
+        to = best.argmax(axis=1)
+        to = np.where(best[at, to] > best[at, c] + least, to, c)
+        for sign, where in ((-1, c), (1, to)):
+            go = to != c
+            np.add.at(m, where[go], sign * r[go])
+            np.add.at(m.T, where[go], sign * l[go])
+            np.add.at(m, (where[go], where[go]), sign * self_[go])
+        m = np.maximum(m, 0)
+        own[a : a + step] = to
+    return own
+
+
+def with_classes(made: DataFrame, told: DataFrame | None) -> DataFrame:
+    """The blocks with `said`: what the last sweep told each of its words; null before the first."""
+    if told is None:
+        return made.withColumn("said", F.lit(None).cast("array<struct<shard int, cls binary, counts binary>>"))
+    return made.join(told.groupBy("block").agg(F.collect_list(F.struct("shard", "cls", "counts")).alias("said")), "block", "left")
+
+
+def own_classes(x: Block, said: list | None, core: np.ndarray, classes: np.ndarray, k: int) -> np.ndarray:
+    if not said:
+        return np.append(classes, k - 1).astype(np.uint8)[place(core, x.vocab)]
+    return np.concatenate([unpack(s["cls"], np.uint8) for s in sorted(said, key=lambda s: s["shard"])])
+
+
+def neighbours(x: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Of the training words, predecessors and words, as places in the block's vocabulary."""
+    end = int(np.searchsorted(x.vocab, word_hashes([END])[0]))
+    return x.previous(x.ids, end)[x.train], x.ids[x.train]
+
+
+def class_bigrams(made: DataFrame, told: DataFrame | None, core: np.ndarray, classes: np.ndarray, k: int) -> np.ndarray:
+    """Counts of the training corpus's class bigrams."""
+    schema = pa.schema([("i", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        held = np.zeros(k * k, dtype=np.int64)
+        for b in batches:
+            for *r, said in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = Block(*r)
+                p, q = neighbours(x)
+                cls = own_classes(x, said, core, classes, k).astype(np.int64)
+                held += np.bincount(cls[p] * k + cls[q], minlength=k * k)
+        used = np.flatnonzero(held)
+        yield batch(schema, used.astype(np.int32), held[used])
+
+    out = np.zeros(k * k, dtype=np.int64)
+    for r in with_classes(made, told).select("docs", "sizes", "vocab", "ids", "said").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[r.i] = r.n
+    return out.reshape(k, k)
+
+
+def likelihood(m: np.ndarray) -> float:
+    """Of the corpus by its class bigrams, but for what no class changes."""
+    h = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+    return h(m.astype(np.float64)) - h(m.sum(axis=0).astype(np.float64)) - h(m.sum(axis=1).astype(np.float64))
+
+
+def answers(made: DataFrame, told: DataFrame | None, core: np.ndarray, classes: np.ndarray, m: np.ndarray, n_shards: int) -> DataFrame:
+    """A sweep. (block, shard, cls, counts, n, v, moved): of each block's words, by hash: class and training
+    count in the corpus. n, v, moved: training tokens, types and moved types of the shard, in one of its rows."""
     k = len(m)
-    full = np.append(classes, k - 1)
-    p = (m + 0.1) / np.maximum(m.sum(axis=1), 1)[:, None]
-    q = (m + 0.1) / np.maximum(m.sum(axis=0), 1)[None, :]
-    pull = np.concatenate([np.log(q), np.log(p).T])  # by predecessor's class, then by follower's: for each class of the word
-    asked = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("vocab", pa.binary()), ("counts", pa.binary()), ("near", pa.binary())])
-    told = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("cls", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
-    end = int(word_hashes([END])[0])
+    wide = 2 * k + 1
+    asked = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("vocab", pa.binary()), ("counts", pa.binary()), ("own", pa.binary()), ("near", pa.binary()), ("many", pa.binary())])
+    said_ = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("cls", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("moved", pa.int64())])
 
     def ask(batches):
         for b in batches:
-            for block, counts, *r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for block, counts, *r, said in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x, counts = Block(*r), unpack(counts, np.uint32)
-                at = place(core, x.vocab)
-                cls = full[at][x.ids].astype(np.uint8)
-                before = x.previous(cls, full[int(place(core, np.array([end], dtype=np.uint64))[0])])
-                after = np.append(cls[1:], 0)
-                last = np.zeros(len(cls), dtype=bool)
-                last[x.first + x.sizes - 1] = True
-                after[last] = full[int(place(core, np.array([end], dtype=np.uint64))[0])]
-                rare = x.train & (at[x.ids] == len(core))
-                order = np.argsort(x.ids[rare], kind="stable")
-                near = np.stack([before[rare][order], after[rare][order] + k], axis=1).astype(np.uint8)
-                tail = np.flatnonzero(at == len(core))
-                v, c = x.vocab[tail], counts[tail]
-                cut = np.searchsorted((v >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32), np.arange(n_shards + 1, dtype=np.uint64))
-                lie = np.concatenate([[0], np.cumsum(c, dtype=np.int64)])
-                span = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-                yield batch(asked, list(range(n_shards)), [block] * n_shards, [v[a:z].tobytes() for a, z in span], [pack(c[a:z]) for a, z in span], [pack(near[lie[a] : lie[z]]) for a, z in span])
+                own = own_classes(x, said, core, classes, k)
+                cls, (p, q) = own.astype(np.int64), neighbours(x)
+                seen = np.bincount(q * wide + cls[p], minlength=len(x.vocab) * wide)
+                seen += np.bincount(p * wide + k + cls[q], minlength=len(seen))
+                seen += np.bincount(q[p == q] * wide + 2 * k, minlength=len(seen))
+                near = np.flatnonzero(seen)
+                many = seen[near].astype(np.uint32)
+                cut = np.searchsorted((x.vocab >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32), np.arange(n_shards + 1, dtype=np.uint64))
+                lie = np.searchsorted(near, cut * wide)
+                span = list(zip(cut[:-1].tolist(), cut[1:].tolist(), lie[:-1].tolist(), lie[1:].tolist(), strict=True))
+                yield batch(asked, list(range(n_shards)), [block] * n_shards, [x.vocab[a:z].tobytes() for a, z, _, _ in span], [pack(counts[a:z]) for a, z, _, _ in span], [pack(own[a:z]) for a, z, _, _ in span], [pack((near[i:j] - a * wide).astype(np.uint32)) for a, _, i, j in span], [pack(many[i:j]) for _, _, i, j in span])
 
     def answer(batches):
         got = {}
@@ -232,30 +308,34 @@ def answers(made: DataFrame, core: np.ndarray, classes: np.ndarray, m: np.ndarra
             for shard, *r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 got.setdefault(shard, []).append(r)
         for shard, rows in got.items():
-            sizes = [len(r[1]) // 8 for r in rows]
-            v = np.frombuffer(b"".join(r[1] for r in rows), np.uint64)
-            c = np.concatenate([unpack(r[2], np.uint32) for r in rows]).astype(np.int64)
-            near = np.concatenate([unpack(r[3], np.uint16) for r in rows]).view(np.uint8)
-            words, at = np.unique(v, return_inverse=True)
-            total = np.bincount(at, weights=c, minlength=len(words)).astype(np.int64)
-            owner = np.repeat(at, 2 * c)
-            order = np.argsort(owner, kind="stable")
-            owner, near = owner[order], near[order]
+            sizes = np.array([len(r[1]) // 8 for r in rows])
+            ends = np.cumsum(sizes)
+            words, at = np.unique(np.frombuffer(b"".join(r[1] for r in rows), np.uint64), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate([unpack(r[2], np.uint32) for r in rows]), minlength=len(words)).astype(np.int64)
             cls = np.full(len(words), NONE, dtype=np.uint8)
+            cls[at] = np.concatenate([unpack(r[3], np.uint8) for r in rows])
+            near = [(unpack(r[4], np.uint32).astype(np.int64), a) for r, a in zip(rows, (ends - sizes).tolist(), strict=True)]
+            near = np.concatenate([at[a + i // wide] * wide + i % wide for i, a in near])
+            many = np.concatenate([unpack(r[5], np.uint32) for r in rows])
+            order = np.argsort(near, kind="stable")
+            near, many, was, totals = near[order], many[order], cls.copy(), m
             for a in range(0, len(words), 50_000):
                 z = min(a + 50_000, len(words))
-                lo, hi = np.searchsorted(owner, [a, z])
-                seen = np.bincount((owner[lo:hi] - a) * 2 * k + near[lo:hi], minlength=(z - a) * 2 * k).reshape(z - a, 2 * k)
-                cls[a:z] = np.where(total[a:z] > 0, (seen @ pull).argmax(axis=1), NONE)
-            ends = np.cumsum(sizes)
+                lo, hi = np.searchsorted(near, [a * wide, z * wide])
+                seen = np.bincount(near[lo:hi] - a * wide, weights=many[lo:hi], minlength=(z - a) * wide).reshape(z - a, wide)
+                train = total[a:z] > 0
+                new = np.full(z - a, NONE, dtype=np.uint8)
+                new[train] = exchange_shard(seen[train], cls[a:z][train], totals)
+                cls[a:z] = new
+            moved = int(((was != cls) & (total > 0)).sum())
             for i, (r, a, z) in enumerate(zip(rows, (ends - sizes).tolist(), ends.tolist(), strict=True)):
-                yield batch(told, [r[0]], [shard], [pack(cls[at[a:z]])], [pack(total[at[a:z]])], [int(total.sum()) if i == 0 else 0], [int((total > 0).sum()) if i == 0 else 0])
+                yield batch(said_, [r[0]], [shard], [pack(cls[at[a:z]])], [pack(total[at[a:z]])], *([y if i == 0 else 0] for y in (int(total.sum()), int((total > 0).sum()), moved)))
 
-    rows = made.select("block", "counts", "docs", "sizes", "vocab", "ids").mapInArrow(ask, "shard int, block long, vocab binary, counts binary, near binary")
-    return rows.repartitionById(n_shards, "shard").mapInArrow(answer, "block long, shard int, cls binary, counts binary, n long, v long")
+    rows = with_classes(made, told).select("block", "counts", "docs", "sizes", "vocab", "ids", "said").mapInArrow(ask, "shard int, block long, vocab binary, counts binary, own binary, near binary, many binary")
+    return rows.repartitionById(n_shards, "shard").mapInArrow(answer, "block long, shard int, cls binary, counts binary, n long, v long, moved long")
 
 
-def resolved(made: DataFrame, told: DataFrame, core: np.ndarray, classes: np.ndarray, totals: np.ndarray, k: int) -> DataFrame:
+def resolved(made: DataFrame, told: DataFrame, k: int) -> DataFrame:
     """The blocks with class and count of each of their words, and their counts of class transitions."""
     schema = pa.schema([("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary()), ("cls", pa.binary()), ("counts", pa.binary()), ("moves", pa.binary())])
     end = int(word_hashes([END])[0])
@@ -264,13 +344,8 @@ def resolved(made: DataFrame, told: DataFrame, core: np.ndarray, classes: np.nda
         for b in batches:
             for docs, sizes, vocab, ids, said in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = Block(docs, sizes, vocab, ids)
-                at = place(core, x.vocab)
-                tail = at == len(core)
-                cls, count = np.append(classes, NONE).astype(np.uint8)[at], np.append(totals, 0)[at]
-                if said:
-                    said = sorted(said, key=lambda s: s["shard"])
-                    cls[tail] = np.concatenate([unpack(s["cls"], np.uint8) for s in said])
-                    count[tail] = np.concatenate([unpack(s["counts"], np.int64) for s in said])
+                said = sorted(said, key=lambda s: s["shard"])
+                cls, count = (np.concatenate([unpack(s[f], kind) for s in said]) for f, kind in (("cls", np.uint8), ("counts", np.int64)))
                 c, n = cls[x.ids].astype(np.int64), count[x.ids]
                 before = x.previous(c, int(cls[np.searchsorted(x.vocab, np.uint64(end))]) if end in x.vocab else 0)
                 once = x.previous((n == 1).astype(np.int64), 0)
@@ -280,26 +355,7 @@ def resolved(made: DataFrame, told: DataFrame, core: np.ndarray, classes: np.nda
                     moves[k :: k + 1] += np.bincount(own[take & (n == 1)], minlength=k + 1)
                 yield batch(schema, [docs], [sizes], [ids], [pack(cls)], [pack(count)], [moves.tobytes()])
 
-    said = told.groupBy("block").agg(F.collect_list(F.struct("shard", "cls", "counts")).alias("said"))
-    joined = made.join(said, "block", "left").select("docs", "sizes", "vocab", "ids", "said")
-    return joined.mapInArrow(run, "docs array<long>, sizes array<long>, ids binary, cls binary, counts binary, moves binary")
-
-
-def core_totals(made: DataFrame, core: np.ndarray) -> np.ndarray:
-    """Training counts of the core words over all blocks."""
-    schema = pa.schema([("i", pa.int32()), ("n", pa.int64())])
-
-    def run(batches):
-        held = np.zeros(len(core) + 1, dtype=np.int64)
-        for b in batches:
-            for vocab, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held += np.bincount(place(core, np.frombuffer(vocab, np.uint64)), weights=unpack(counts, np.uint32), minlength=len(held)).astype(np.int64)
-        yield batch(schema, np.arange(len(core), dtype=np.int32), held[:-1])
-
-    out = np.zeros(len(core), dtype=np.int64)
-    for r in made.select("vocab", "counts").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r.i] = r.n
-    return out
+    return with_classes(made, told).select("docs", "sizes", "vocab", "ids", "said").mapInArrow(run, "docs array<long>, sizes array<long>, ids binary, cls binary, counts binary, moves binary")
 
 
 def transitions(done: DataFrame, k: int) -> np.ndarray:
@@ -320,7 +376,27 @@ def transitions(done: DataFrame, k: int) -> np.ndarray:
     return out.reshape(k + 1, k + 1)
 
 
-def scores(docs: DataFrame, n_classes: int = 32, core: int = 512, share: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sweeps(made: DataFrame, k: int, core: int, most: int, n_shards: int) -> DataFrame:
+    """What the last sweep told, after exchange sweeps over the whole training vocabulary."""
+    heads = core_words(made, core)
+    classes = exchange(core_bigrams(made, heads), k) if len(heads) else np.zeros(0, dtype=np.int64)
+    told, m = None, class_bigrams(made, None, heads, classes, k)
+    began = was = likelihood(m)
+    for _ in range(max(1, most)):
+        new = materialize(answers(made, told, heads, classes, m, n_shards), "answers")
+        moved = new.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0]
+        m = class_bigrams(made, new, heads, classes, k)
+        now = likelihood(m)
+        if told is not None and now < was:
+            break
+        told = new
+        if not moved or now - was <= 1e-3 * (now - began):
+            break
+        was = now
+    return told
+
+
+def scores(docs: DataFrame, n_classes: int = 32, core: int = 512, share: float = 0.02, most_sweeps: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document; see SCORES.
 
     Training rows: those whose id's text has a crc32 not divisible by 10; a null id counts as held out.
@@ -329,18 +405,14 @@ def scores(docs: DataFrame, n_classes: int = 32, core: int = 512, share: float =
     are whole. Without training rows all words are unknown. Extra columns are left out.
     """
     k = n_classes
-    made = materialize(corpus(texts(docs, id_col, text_col)), "blocks")
-    heads = core_words(made, core)
-    totals = core_totals(made, heads)
-    bigrams = core_bigrams(made, heads)
-    classes = exchange(bigrams, k) if len(heads) else np.zeros(0, dtype=np.int64)
-    hot = np.zeros((len(heads) + 1, k), dtype=np.int64)
-    hot[np.arange(len(heads) + 1), np.append(classes, k - 1)] = 1
-    told = materialize(answers(made, heads, classes, hot.T @ bigrams @ hot, partitions(docs.sparkSession)), "answers")
-    done = materialize(resolved(made, told, heads, classes, totals, k), "resolved")
+    n_parts = partitions(docs.sparkSession)
+    # kept by block, so that a sweep moves the words' classes and not the corpus
+    made = corpus(texts(docs, id_col, text_col)).repartition(n_parts, "block").persist(StorageLevel.DISK_ONLY)
+    told = sweeps(made, k, core, most_sweeps, n_parts)
+    done = materialize(resolved(made, told, k), "resolved")
+    made.unpersist()
     moves = transitions(done, k)
-    rest = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    n, v = int(totals.sum()) + rest[0], int((totals > 0).sum()) + rest[1]
+    n, v = (int(x) for x in told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
 
     known = moves[:, :k].astype(np.float64)
     seen = known.sum(axis=1)
