@@ -268,16 +268,15 @@ def test_core_and_classes_cover_rare_words_in_small_blocks(spark):
 def test_a_sweep_moves_frequent_and_rare_words_by_their_neighbours():
     rng = np.random.default_rng(6)
     text = np.array([rng.choice(20, p=np.arange(20, 0, -1) / 210) + 20 * (k % 2) for k in range(6000)])
-    own = rng.integers(0, 2, 40)
-    for _ in range(6):
-        near = np.zeros((40, 5))
+    own = np.array(([0] * 5 + [2] * 15) + ([1] * 5 + [2] * 15))  # the frequent words have classes, all others one
+    for _ in range(3):
+        near, m = np.zeros((40, 7)), np.zeros((3, 3))
         np.add.at(near, (text[1:], own[text[:-1]]), 1)
-        np.add.at(near, (text[:-1], 2 + own[text[1:]]), 1)
-        np.add.at(near, (text[1:][text[1:] == text[:-1]], 4), 1)
-        m = np.zeros((2, 2))
+        np.add.at(near, (text[:-1], 3 + own[text[1:]]), 1)
+        np.add.at(near, (text[1:][text[1:] == text[:-1]], 6), 1)
         np.add.at(m, (own[text[:-1]], own[text[1:]]), 1)
-        own = brown_lm.exchange_shard(near, own, m, step=1)
-    assert len(set(own[:20])) == 1 and len(set(own[20:])) == 1 and own[0] != own[20]
+        own = brown_lm.exchange_shard(near, own, m)
+    assert own.tolist() == [0] * 20 + [1] * 20
 
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies</div>
@@ -300,6 +299,18 @@ def test_line_blocks_on_pages(spark, sf, empty):
     assert {(r.page_id, r.text) for r in line_blocks.extract_pages(odd).collect()} == {(1, ""), (None, "a")}
 
 
+def test_line_blocks_by_sums_where_an_article_is_a_teaser():
+    para = "<div>" + "A sentence of real text that goes on. " * 4 + "</div>"
+    furniture = "<nav>a</nav>" * 5
+    teaser = "<article class=card>Read this too</article>"
+    assert line_blocks.extract(f"{para * 5}{furniture}{teaser}").count("sentence") == 20
+    assert line_blocks.extract(f"{teaser}{furniture}{para * 5}").count("sentence") == 20
+    whole = line_blocks.extract(f"<div>Home page</div><article>{para * 5}{furniture}<p>End.</p></article><div>About the site</div>")
+    assert whole.count("sentence") == 20 and whole.endswith("End.") and "Home" not in whole and "About" not in whole
+    parts = line_blocks.extract(f"<div>{para * 3}{furniture}<div>Short.</div>{furniture}{para * 3}</div>")
+    assert parts.count("sentence") == 24 and "Short." in parts
+
+
 def test_toxicity_on_held_out_rows(spark, edges, empty):
     d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score(d, y).join(y, "doc_id").filter("held_out").select("predicted", "toxic").collect()

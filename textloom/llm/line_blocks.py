@@ -3,11 +3,15 @@
 Markup is stripped: block elements end a line, so a line is a block's text with white space made one
 space. Each line's length is its characters, but 0 in furniture (menus, headers and footers, sidebars,
 notices, adverts, forms, scripts, styles, comments by readers; by element, role, or names in class and
-id) and in lines that are mostly links. Where the page names its article, lines outside it have length 0.
+id) and in lines that are mostly links.
 
 Lengths are summed over sliding windows of lines. Where the sum rises over a threshold, text surges;
-where it falls to 0, it dives. The text is what lies between surges and dives, without lines of length 0.
-The threshold is one character if the article is named, else a share of the greatest sum.
+where it falls to 0, it dives. The text is what lies from the first surge to the last dive, without lines
+of length 0. The threshold is a share of the greatest sum, 80 characters at most.
+
+Where the page names its article, the sums are taken inside and outside it. If none outside is greater
+than the greatest inside, lines outside have length 0; else the name is of a teaser or the like, and all
+lines count. A named line is text however short it is: the name lowers its threshold to one character.
 """
 
 from __future__ import annotations
@@ -118,23 +122,20 @@ def extract(page: str | None, window: int = 3, share: float = 0.2) -> str:
     lines = Lines(page or "").out
     if not lines:
         return ""
-    named = any(article for _, _, article, _ in lines)
-    size = np.array([0 if bad or (named and not article) or links > 0.6 * len(text) else len(text) for text, bad, article, links in lines])
-    if named:  # links in a named article are text, unless they are all of a line
-        size = np.array([len(text) if article and not bad else 0 for text, bad, article, _ in lines])
-    sums = np.convolve(size, np.ones(window, dtype=int))[window - 1 :]  # of each line and those after it
-    limit = 1 if named else max(1, min(80, share * sums.max()))
-    keep = np.zeros(len(size), dtype=bool)
-    i = 0
-    while i < len(sums):
-        if sums[i] >= limit:  # a surge: text runs on until a window of nothing
-            j = i
-            while j < len(sums) and sums[j] > 0:
-                j += 1
-            keep[i:j] = True
-            i = j
-        i += 1
-    return " ".join(t for (t, *_), k, n in zip(lines, keep, size, strict=True) if k and n)
+    inside = np.array([article and not bad for _, bad, article, _ in lines])
+    # links in a named article are text
+    size = np.array([0 if bad or (links > 0.6 * len(text) and not article) else len(text) for text, bad, article, links in lines])
+    window_sums = lambda x: np.convolve(x, np.ones(window, dtype=int))[window - 1 :]  # noqa: E731  of each line and those after it
+    if inside.any() and window_sums(size * ~inside).max() <= window_sums(size * inside).max():
+        size = size * inside
+    sums = window_sums(size)
+    surge = np.flatnonzero((sums >= max(1, min(80, share * sums.max()))) | (inside & (size > 0)))
+    if not len(surge):
+        return ""
+    dive = int(surge[-1])  # text runs on until a window of nothing
+    while dive < len(sums) and sums[dive] > 0:
+        dive += 1
+    return " ".join(t for (t, *_), n in zip(lines[surge[0] : dive], size[surge[0] : dive], strict=True) if n)
 
 
 def extract_pages(pages: DataFrame, window: int = 3, share: float = 0.2) -> DataFrame:
