@@ -150,6 +150,19 @@ def test_decontamination_against_brute_force(spark, both, empty, sf):
     assert fm_index.digest(fm_index.find_spans(both[1][0], b.filter("false"))).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_benchmark_of_several_blocks_cuts_what_one_block_does(spark, both, sf):
+    items = [(1, "a1 b2 c3 d4 e5 f6 g7 h8 i9"), (2, "e5 f6 g7 h8 i9 j1 k2 l3 m4"), (3, "one two three four x1 y2 z3 w4")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    t = "start a1 b2 c3 d4 e5 f6 g7 h8 i9 j1 k2 l3 m4 stop. one two three four a1 b2 c3 d4 e5 f6 g7 h8 i9 x1 y2 z3 w4 end"
+    d = spark.createDataFrame([(1, t, 3), (1, "one two", 7), (None, t, 3), (None, None, None)], "doc_id long, text string, n_chars long")
+    for docs, bench, most in ((d, b, 10), (both[0][0], spark.read.parquet(f"{sf}/benchmark.parquet"), 5_000), (both[1][0], b, 10)):
+        for f in (fm_index.remove_spans, lambda *a, **k: fm_index.digest(fm_index.find_spans(*a, **k))):
+            one, many = f(docs, bench), f(docs, bench, most_bytes=most)
+            assert many.columns == one.columns
+            assert collections.Counter(map(str, many.collect())) == collections.Counter(map(str, one.collect()))
+    assert fm_index.remove_spans(d, b, most_bytes=10).filter("doc_id = 1 and n_chars > 7").first().text == "start  stop. one two three four  x1 y2 z3 w4 end"
+
+
 def test_fm_index_against_scanning():
     rng = np.random.default_rng(1)
     text = rng.integers(0, 4, 400)

@@ -13,13 +13,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, batch, blocks, pairs, texts
+from .common import ALNUM, batch, blocks, materialize, pairs, texts
 
 SAMPLE = 8
 SPANS = "doc_id long, n_words long, n_items long, items array<string>, first array<long>, last array<long>"
@@ -178,16 +179,14 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, size: int = 8, shard_bytes
     """For each document: doc_id, n_words, the items with occurring windows, and the merged word spans [first, last).
 
     A benchmark within `most_bytes` takes one scan without a shuffle. A larger one is sought block by
-    block, one scan each, and the spans are merged by row; nothing is dropped. Null and empty texts have
-    no words; an empty benchmark hits nothing; repeated rows and null ids stay as they are. Extra columns
-    are left out.
+    block, one scan each, and the spans are merged by a row key made for it; nothing is dropped. Null and
+    empty texts have no words; an empty benchmark hits nothing; repeated rows and null ids stay as they are.
+    Extra columns are left out.
     """
     d = texts(docs, id_col, text_col)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64()))])
 
-    def one(p: Phrases | None):
-        shared = d.sparkSession.sparkContext.broadcast(p)
-
+    def one(shared):
         def run(batches):
             p = shared.value
             for held in blocks(pairs(batches), lambda r: len(r[1]), shard_bytes):
@@ -203,30 +202,54 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, size: int = 8, shard_bytes
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(doc)], strict=True) if len(doc) else ():
                     k, w = int(doc[a]), which[a:b]
                     first[k], last[k] = merged(at[a:b], at[a:b] + p.sizes[w])
-                    items[k] = sorted({p.items[i] for x in set(w.tolist()) for i in p.item_of[p.item_start[x] : p.item_start[x + 1]].tolist()})
+                    items[k] = ordered({p.items[i] for x in set(w.tolist()) for i in p.item_of[p.item_start[x] : p.item_start[x + 1]].tolist()})
                 yield batch(schema, [i for i, _ in held], counts, [len(x) for x in items], items, first, last)
 
         return run
 
-    found = [d.mapInArrow(one(p), SPANS) for p in phrase_blocks(benchmark, size, item_col, item_text, most_bytes)]
+    found = [d.sparkSession.sparkContext.broadcast(p) for p in phrase_blocks(benchmark, size, item_col, item_text, most_bytes)]
     if len(found) < 2:
-        return found[0] if found else d.mapInArrow(one(None), SPANS)
+        return d.mapInArrow(one(found[0] if found else d.sparkSession.sparkContext.broadcast(None)), SPANS)
+
+    def count(batches):
+        for b in batches:
+            n = [len(words(t)) for _, t in pairs([b])]
+            items, first, last = ([x or [] for x in b.column(k).to_pylist()] for k in (2, 3, 4))
+            spans = [merged(np.array(f), np.array(z)) if f else ([], []) for f, z in zip(first, last, strict=True)]
+            items = [ordered(set(x)) for x in items]
+            yield batch(schema, b.column(0), n, [len(x) for x in items], items, [f for f, _ in spans], [z for _, z in spans])
+
+    return _with_spans(d, found, shard_bytes).select("doc_id", "text", "_items", "_first", "_last").mapInArrow(count, SPANS)
+
+
+def ordered(items: set) -> list:
+    """Sorted; the item of null item_ids last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
 
-    raise_on = d.groupBy("doc_id").count().filter("count > 1").limit(1)
-    if raise_on.count():
-        raise ValueError("a benchmark of several blocks needs distinct document ids")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+def _with_spans(docs: DataFrame, found: list, shard_bytes: int) -> DataFrame:
+    """docs with _items, _first and _last, as all blocks of phrases found them in the text; null if none did."""
+    kept = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    schema = pa.schema([("_row", pa.int64()), ("items", pa.list_(pa.string())), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64()))])
+    names = "_row long, items array<string>, first array<long>, last array<long>"
 
-    def join(key, t):
-        flat = lambda c: np.array([x for r in t.column(c).to_pylist() for x in r], dtype=np.int64)
-        first, last = flat("first"), flat("last")
-        a, b = merged(first, last) if len(first) else ([], [])
-        items = sorted({x for r in t.column("items").to_pylist() for x in r})
-        return pa.Table.from_batches([batch(schema, [key[0].as_py()], [t.column("n_words")[0].as_py()], [len(items)], [items], [a], [b])])
+    def seek(shared):
+        def run(batches):
+            p = shared.value
+            for held in blocks(((i, t) for i, t in pairs(batches) if t), lambda r: len(r[1]), shard_bytes):
+                _, doc, at, which = search([t for _, t in held], p)
+                for x in np.unique(doc).tolist():
+                    own = doc == x
+                    w = which[own]
+                    items = ordered({p.items[i] for y in set(w.tolist()) for i in p.item_of[p.item_start[y] : p.item_start[y + 1]].tolist()})
+                    first, last = merged(at[own], at[own] + p.sizes[w])
+                    yield batch(schema, [held[x][0]], [items], [first], [last])
+
+        return run
 
-    return out.groupBy("doc_id").applyInArrow(join, SPANS)
+    hits = reduce(DataFrame.unionByName, (kept.select("_row", "text").mapInArrow(seek(p), names) for p in found))
+    flat = hits.groupBy("_row").agg(*(F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("items", "first", "last")))
+    return kept.join(flat, "_row", "left").drop("_row")
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -248,20 +271,46 @@ def cut_spans(text: bytes, first: list[int], last: list[int]) -> bytes:
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 8, shard_bytes: int = 4_000_000, most_bytes: int = 8_000_000) -> DataFrame:
     """docs with the spans cut out of `text`; clean rows are as they were, n_chars (if any) follows the text.
 
-    One scan for each block of the benchmark, without a shuffle. Null texts stay null.
+    A benchmark within `most_bytes` takes one scan without a shuffle. The spans of a larger one are sought
+    block by block in the texts as they came, merged by row, and cut once. Null texts stay null.
     """
-    for p in phrase_blocks(benchmark, size, "item_id", "text", most_bytes):
-        docs = docs.mapInArrow(_cutter(docs.sparkSession.sparkContext.broadcast(p), shard_bytes), docs.schema)
-    return docs
+    found = [docs.sparkSession.sparkContext.broadcast(p) for p in phrase_blocks(benchmark, size, "item_id", "text", most_bytes)]
+    if not found:
+        return docs
+    if len(found) == 1:
+        return docs.mapInArrow(_cutter(found[0], shard_bytes), docs.schema)
+    return _with_spans(docs, found, shard_bytes).drop("_items").mapInArrow(_cut, docs.schema)
+
+
+def _cut(batches):
+    """Cut the spans of the last two columns, and leave these columns out."""
+    for b in batches:
+        raw = b.column(b.schema.names.index("text")).cast(pa.large_binary()).to_pylist()
+        first, last = (b.column(b.num_columns - k).to_pylist() for k in (2, 1))
+        changed = {i: cut_spans(raw[i], *merged(np.array(f), np.array(z))) for i, (f, z) in enumerate(zip(first, last, strict=True)) if f}
+        yield _changed(b.select(b.schema.names[:-2]), raw, changed)
+
+
+def _changed(b: pa.RecordBatch, raw: list, changed: dict[int, bytes]) -> pa.RecordBatch:
+    """The batch with new texts in some rows; n_chars (if any) follows."""
+    if not changed:
+        return b
+    names, cols = b.schema.names, b.columns
+    k = names.index("text")
+    new = [changed.get(i, t) for i, t in enumerate(raw)]
+    cols[k] = pa.array([None if t is None else t.decode() for t in new], type=b.schema.field(k).type)
+    if "n_chars" in names:
+        j = names.index("n_chars")
+        n = b.column(j).to_pylist()
+        cols[j] = pa.array([len(new[i].decode()) if i in changed else v for i, v in enumerate(n)], type=b.schema.field(j).type)
+    return pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
 
 def _cutter(shared, shard_bytes: int):
     def run(batches):
         p = shared.value
         for b in batches:
-            names = b.schema.names
-            k = names.index("text")
-            raw = b.column(k).cast(pa.large_binary()).to_pylist()
+            raw = b.column(b.schema.names.index("text")).cast(pa.large_binary()).to_pylist()
             rows = [(i, t) for i, t in enumerate(raw) if t]
             changed: dict[int, bytes] = {}
             for held in blocks(rows, lambda r: len(r[1]), shard_bytes):
@@ -270,16 +319,7 @@ def _cutter(shared, shard_bytes: int):
                     own = doc == x
                     i, t = held[x]
                     changed[i] = cut_spans(t, *merged(at[own], at[own] + p.sizes[which[own]]))
-            if changed:
-                new = [changed.get(i, t) for i, t in enumerate(raw)]
-                cols = b.columns
-                cols[k] = pa.array([None if t is None else t.decode() for t in new], type=b.schema.field(k).type)
-                if "n_chars" in names:
-                    j = names.index("n_chars")
-                    n = b.column(j).to_pylist()
-                    cols[j] = pa.array([len(new[i].decode()) if i in changed else v for i, v in enumerate(n)], type=b.schema.field(j).type)
-                b = pa.RecordBatch.from_arrays(cols, schema=b.schema)
-            yield b
+            yield _changed(b, raw, changed)
 
     return run
 
