@@ -163,6 +163,14 @@ def test_benchmark_of_several_blocks_cuts_what_one_block_does(spark, both, sf):
     assert fm_index.remove_spans(d, b, most_bytes=10).filter("doc_id = 1 and n_chars > 7").first().text == "start  stop. one two three four  x1 y2 z3 w4 end"
 
 
+def test_benchmark_rows_without_an_id_are_one_item(spark):
+    b = spark.createDataFrame([(None, "red green blue"), (5, "red green blue"), (None, "one two")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "a red green blue one two z"), (2, "one two")], "doc_id long, text string")
+    for most in (8_000_000, 5):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in fm_index.digest(fm_index.find_spans(d, b, most_bytes=most)).collect()}
+        assert got == {1: (5, 2, fm_index.items_sha256(["5"])), 2: (2, 1, fm_index.items_sha256([]))}
+
+
 def test_fm_index_against_scanning():
     rng = np.random.default_rng(1)
     text = rng.integers(0, 4, 400)

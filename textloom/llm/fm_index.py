@@ -169,7 +169,7 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[list[int], list[int]]:
 
 def phrase_blocks(benchmark: DataFrame, size: int, id_col: str, text_col: str, most: int) -> Iterator[Phrases]:
     """Phrases of the tests, in blocks of a bounded number of bytes: each is sent to the executors whole."""
-    rows = benchmark.select(F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).filter(F.col(id_col).isNotNull()).toLocalIterator(prefetchPartitions=False)
+    rows = benchmark.select(F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).toLocalIterator(prefetchPartitions=False)
     for held in blocks(((i, bytes(t)) for i, t in rows), lambda r: len(r[1]), most):
         if (p := Phrases.build(held, size)) is not None:
             yield p
@@ -181,7 +181,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, size: int = 8, shard_bytes
     A benchmark within `most_bytes` takes one scan without a shuffle. A larger one is sought block by
     block, one scan each, and the spans are merged by a row key made for it; nothing is dropped. Null and
     empty texts have no words; an empty benchmark hits nothing; repeated rows and null ids stay as they are.
-    Extra columns are left out.
+    Benchmark rows with a null item_id are one item, null, last in items. Extra columns are left out.
     """
     d = texts(docs, id_col, text_col)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64()))])
