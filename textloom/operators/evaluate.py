@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +30,53 @@ def mean(per_query: DataFrame, measure: str, by: str | None = None) -> DataFrame
 
 
 def paired_t(a: DataFrame, b: DataFrame, measure: str) -> DataFrame:
-    """Paired t statistic of two runs: (n, difference, t)."""
+    """Student's paired test of two runs: (n, difference, t, p), p two-sided. Without spread p is 1 for equal
+    runs and 0 for others; with fewer than two queries t and p are null."""
     d = a.select("query_id", F.col(measure).alias("x")).join(b.select("query_id", F.col(measure).alias("y")), "query_id").withColumn("d", F.col("x") - F.col("y"))
-    return d.agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("difference"), F.round(F.try_divide(F.avg("d"), F.stddev_samp("d") / F.sqrt(F.count("*"))), 6).alias("t"))
+    s = d.agg(F.count("*").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("sd"))
+    t = F.try_divide(F.col("m"), F.col("sd") / F.sqrt("n"))
+    p = F.when(F.col("n") < 2, None).when(F.col("sd") == 0, F.when(F.col("m") == 0, 1.0).otherwise(0.0)).otherwise(two_sided_p(t, F.col("n") - 1))
+    return s.select("n", F.round("m", 6).alias("difference"), F.round(t, 6).alias("t"), F.round(p, 6).alias("p"))
+
+
+def two_sided_p(t: Column, df: Column) -> Column:
+    """Chance of a |Student's t| as great, by the finite sums for whole degrees of freedom."""
+    a = F.atan(F.abs(t) / F.sqrt(df))
+    c2 = F.cos(a) * F.cos(a)
+    odd = df % 2 == 1
+    # terms k = 1, 2, ...: odd: 2 4 .. / 3 5 ..; even: 1 3 .. / 2 4 ..
+    steps = F.when(odd, (df - 3) / 2).otherwise((df - 2) / 2).cast("int")
+    shift = F.when(odd, 1.0).otherwise(0.0)
+    series = F.aggregate(
+        F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")),
+        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+        lambda s, k: F.struct((s["term"] * c2 * (2 * k - 1 + shift) / (2 * k + shift)).alias("term"), (s["sum"] + s["term"] * c2 * (2 * k - 1 + shift) / (2 * k + shift)).alias("sum")),
+        lambda s: s["sum"],
+    )
+    inside = F.when(odd, 2 / F.pi() * (a + F.when(df > 1, F.sin(a) * F.cos(a) * series).otherwise(0.0))).otherwise(F.sin(a) * series)
+    return F.greatest(1 - inside, F.lit(0.0))
+
+
+def significant(p: Column, most: float = 0.05) -> Column:
+    return p <= most
+
+
+def report(runs: dict[str, DataFrame], qrels: DataFrame, k: int = 10) -> DataFrame:
+    """(mode, queries, ndcg, mrr, recall, precision, map): means of each run, best ndcg first."""
+    rows = [measures(run, qrels, k).agg(F.count("*").alias("queries"), *(F.round(F.avg(c), 6).alias(c) for c in ("ndcg", "mrr", "recall", "precision", "map"))).select(F.lit(mode).alias("mode"), "*") for mode, run in runs.items()]
+    return reduce(DataFrame.unionByName, rows).orderBy(F.desc("ndcg"), "mode")
+
+
+def compared(runs: dict[str, DataFrame], qrels: DataFrame, measure: str = "ndcg", k: int = 10, most_p: float = 0.05) -> DataFrame:
+    """(a, b, n, difference, t, p, significant) of each two runs."""
+    per = {mode: measures(run, qrels, k) for mode, run in runs.items()}
+    names = list(per)
+    rows = [paired_t(per[a], per[b], measure).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "*", significant(F.col("p"), most_p).alias("significant")) for i, a in enumerate(names) for b in names[i + 1 :]]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def against_published(results: DataFrame, published: DataFrame) -> DataFrame:
+    """(system, dataset, ndcg, own): own results (dataset, mode, ndcg) among published ones (system, dataset, ndcg),
+    best first in each dataset."""
+    own = results.select(F.col("mode").alias("system"), "dataset", "ndcg", F.lit(True).alias("own"))
+    return own.unionByName(published.select("system", "dataset", "ndcg", F.lit(False).alias("own"))).orderBy("dataset", F.desc("ndcg"), "system")

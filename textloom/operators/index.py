@@ -12,9 +12,19 @@ from textloom.functions.text import tokens
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): counted where the rows are, one row for each term of a chunk; no shuffle before it."""
-    t = chunks.select(F.col(key), tokens(F.col(text)).alias("t"))
-    return t.select(key, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf, dl): one row for each term of a chunk. Counted inside the row, as runs in its sorted
+    tokens, so no token is shuffled."""
+    t = tokens(F.col(text))
+    d = chunks.select(F.col(key), F.size(t).cast("long").alias("dl"), F.array_join(F.sort_array(t), " ").alias("sorted"))
+    runs = F.regexp_extract_all("sorted", F.lit(r"(?<![a-z0-9])([a-z0-9]++)(?: \1(?![a-z0-9]))*+"), F.lit(0))
+    d = d.select(key, "dl", F.explode(runs).alias("run")).withColumn("term", F.substring_index("run", " ", 1))
+    return d.select(key, "term", ((F.length("run") + 1) / (F.length("term") + 1)).cast("long").alias("tf"), "dl")
+
+
+def row_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """One row (n, avgdl): chunks that hold a token, and their mean tokens."""
+    dl = chunks.select(F.size(tokens(F.col(text))).alias("dl")).filter("dl > 0")
+    return dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Ranking: scores, fusion, features, near-duplicate and diversity folds. query_id is the key throughout.
 
-A query's candidates are bounded (hundreds), so windows and folds by query are over bounded groups; the
-one large table, the postings, is joined with the queries' terms, which are broadcast by size if small.
+After top_k a query's candidates are bounded (hundreds), so later windows and folds by query are over bounded
+groups. The one large table, the postings, is joined with the queries' terms, which are broadcast by size if
+small; its scores are summed by map-side aggregation, and top_k keeps k rows of a query in each task.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.stem import folded_tokens, stem
 from textloom.functions.text import NUMBER, grams, tokens
 
 
@@ -26,18 +28,36 @@ def bm25(queries: DataFrame, posted: DataFrame, vocab: DataFrame, stats: DataFra
 
 def match_bm25(terms: DataFrame, posted: DataFrame, vocab: DataFrame, rows: DataFrame, k1: float = 1.2, b: float = 0.75, key: str = "doc_id") -> DataFrame:
     """(query_id, key, score) of the rows that hold any of a query's distinct terms, by the matcher's own
-    negated score: row statistics, and idf at least 1e-6. terms: (query_id, term, weight)."""
-    s = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    negated score: row statistics (one row n, avgdl), and idf at least 1e-6. terms: (query_id, term, weight)."""
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = F.col("weight") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    known = terms.join(vocab.select("term", "df"), "term").crossJoin(F.broadcast(s))  # one row
+    known = terms.join(vocab.select("term", "df"), "term").crossJoin(F.broadcast(rows.select("n", "avgdl")))  # one row
     return posted.join(known, "term").groupBy("query_id", key).agg(F.round(-F.sum(part), 6).alias("score"))
 
 
+def stem_match(queries: DataFrame, posted: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, hits): rows of postings (with stems) that hold any of a query's stemmed terms, and how
+    many of its stems they hold."""
+    asked = queries.select("query_id", F.explode(folded_tokens(F.col("text"))).alias("term")).withColumn("stem", stem(F.col("term"))).select("query_id", "stem").distinct()
+    return posted.join(asked, "stem").groupBy("query_id", key).agg(F.countDistinct("stem").alias("hits"))
+
+
+def phrase_match(queries: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, key, times): rows in whose tokens the query's tokens stand one after another. Places of the
+    query's terms, less their places in the query, meet where the phrase begins; only terms that a query
+    asks for leave the scan of the rows."""
+    asked = queries.select("query_id", F.posexplode(tokens(F.col("text"))).alias("i", "term"))
+    size = queries.select("query_id", F.size(tokens(F.col("text"))).alias("n")).filter("n > 0")
+    held = rows.select(key, F.posexplode(tokens(F.col(text))).alias("place", "term")).join(asked, "term")
+    begins = held.groupBy("query_id", key, (F.col("place") - F.col("i")).alias("begin")).agg(F.count("*").alias("found"))
+    return begins.join(size, "query_id").filter("found = n").groupBy("query_id", key).agg(F.count("*").alias("times"))
+
+
 def top_k(scored: DataFrame, k: int, key: str = "doc_id", descending: bool = True) -> DataFrame:
-    """The k best of each query, with `rank` from 0; ties by key."""
+    """The k best of each query, with `rank` from 0; ties by key. Each task keeps k rows of a query before
+    the shuffle."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score") if descending else F.asc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def minmax(score: Column) -> Column:
@@ -105,7 +125,7 @@ def prf_terms(top: DataFrame, queries: DataFrame, posted: DataFrame, docs: int =
     found = best.join(posted, key).filter((F.length("term") >= 3) & ~F.col("term").rlike(r"^\d+$")).join(asked, ["query_id", "term"], "left_anti")
     scored = found.groupBy("query_id", "term").agg(F.round(F.sum(F.col("w") * F.col("tf") * damp), 6).alias("score")).filter("score > 0.1")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "term")
-    return scored.withColumn("term_rank", F.row_number().over(w) - 1).filter(F.col("term_rank") < most)
+    return scored.withColumn("term_rank", F.row_number().over(w)).filter(F.col("term_rank") <= most).withColumn("term_rank", F.col("term_rank") - 1)
 
 
 def anchored(keys: DataFrame, terms: DataFrame, posted: DataFrame, key: str = "doc_id") -> DataFrame:

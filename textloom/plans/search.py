@@ -11,6 +11,7 @@ from textloom.config import SearchConfig
 from textloom.functions.text import extension_filter, keywords, matches_none, snippet, tokens
 from textloom.functions.vectors import cosine
 from textloom.operators import index, rank
+from textloom.operators.store import Index
 from textloom.session import stored
 
 
@@ -21,18 +22,32 @@ class Engine:
     docs: DataFrame
     vectors: DataFrame | None = None
     config: SearchConfig = SearchConfig()
+    index: Index | None = None  # a stored index to read instead of making one
     kept: bool = False
 
     def __post_init__(self):
+        if self.index is not None:
+            self.posted = self.index.postings().select(F.col("chunk_id").alias("doc_id"), "term", "tf", "dl")
+            self.vocab, t = self.index.vocabulary(), self.index.totals()
+            self.stats, self.rows = t.select("n", "avgdl"), t.select(F.col("rows").alias("n"), F.col("row_avgdl").alias("avgdl"))
+            self.kept = True
+            return
         self.posted = index.postings(self.docs, "doc_id")
         self.vocab = index.document_frequency(self.posted)
-        self.stats = index.corpus_stats(self.docs, "doc_id")
+        self.stats, self.rows = index.corpus_stats(self.docs, "doc_id"), index.row_stats(self.docs)
+
+    @classmethod
+    def of(cls, stored_index: Index, model: tuple[str, int, str] | None = None, config: SearchConfig = SearchConfig()) -> Engine:
+        """Search over the chunks of a stored index; model: (name, dimensions, version) of the vectors to use."""
+        chunks = stored_index.chunks().select(F.col("chunk_id").alias("doc_id"), F.col("file_path").alias("path"), "text", "text_hash")
+        vectors = chunks.join(stored_index.vectors(*model), "text_hash").select("doc_id", F.col("vector").alias("v")) if model else None
+        return cls(chunks.drop("text_hash"), vectors, config, stored_index)
 
     def built(self) -> Engine:
         """The same with its index as stored tables: a search reads them many times."""
         if not self.kept:
-            self.posted = stored(self.posted, "postings")
-            self.vocab, self.stats = stored(index.document_frequency(self.posted), "vocabulary"), stored(self.stats, "stats")
+            self.posted = stored(self.posted.repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("term"), "postings")
+            self.vocab, self.stats, self.rows = stored(index.document_frequency(self.posted), "vocabulary"), stored(self.stats, "stats"), stored(self.rows, "rows")
             self.kept = True
         return self
 
@@ -47,23 +62,27 @@ class Engine:
         q = queries.join(df, "query_id", "left").crossJoin(F.broadcast(self.stats.select("n")))  # one row
         return q.select("query_id", keywords(F.col("text"), F.coalesce("df", F.create_map().cast("map<string,double>")), F.col("n"), self.config.max_terms).alias("keys"))
 
-    def match(self, keys: DataFrame, posted: DataFrame, k: int) -> DataFrame:
-        """(query_id, doc_id, score, rank): the k best matches of any key, best (least) score first."""
+    def match(self, keys: DataFrame, posted: DataFrame, k: int | None) -> DataFrame:
+        """(query_id, doc_id, score, rank): the k best matches of any key (all without k), best (least) score first."""
         terms = keys.select("query_id", F.explode("keys").alias("term")).withColumn("weight", F.lit(1.0))
-        return rank.top_k(rank.match_bm25(terms, posted, self.vocab, self.posted.select("doc_id", "dl").distinct()), k, descending=False)
+        scored = rank.match_bm25(terms, posted, self.vocab, self.rows)
+        if k is None:
+            return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "doc_id")) - 1)
+        return rank.top_k(scored, k, descending=False)
 
     def rank(self, queries: DataFrame, mode: str = "hybrid", k: int | None = None) -> DataFrame:
         """(query_id, doc_id, score, rank) by one mode (bm25, embedding, hybrid) over the rescored candidates."""
         c = self.config
-        top = rank.top_k(rank.bm25(queries, self.posted, self.vocab, self.stats, c.k1, c.b), c.rerank_k)
+        final = c.final_k if k is None else k
+        top = rank.top_k(rank.bm25(queries, self.posted, self.vocab, self.stats, c.k1, c.b), max(c.rerank_k, final))
         if mode == "bm25":
-            return top.filter(F.col("rank") < (k or c.final_k))
+            return top.filter(F.col("rank") < final)
         d = self.similar(top, queries)
         if mode == "embedding":
-            return rank.top_k(d.select("query_id", "doc_id", F.col("sim").alias("score")), k or c.final_k)
+            return rank.top_k(d.select("query_id", "doc_id", F.col("sim").alias("score")), final)
         d = self.embed_rank(d)
         fused = d.select("query_id", "doc_id", F.round(rank.rrf([F.col("rank"), F.col("e_rank")], F.col("n"), c.rrf_k), 9).alias("score"))
-        return rank.top_k(fused, k or c.final_k)
+        return rank.top_k(fused, final)
 
     def similar(self, top: DataFrame, queries: DataFrame) -> DataFrame:
         q = queries.select("query_id", "qv") if "qv" in queries.columns else queries.select("query_id", F.lit(None).cast("array<double>").alias("qv"))
@@ -86,7 +105,7 @@ class Engine:
         ask = keys.join(terms.select("query_id").distinct(), "query_id", "left_semi")
         allowed = rank.anchored(ask, terms, posted)
         parts = ask.select("query_id", F.explode(F.slice("keys", 1, 3)).alias("term"), F.lit(1.0).alias("weight")).unionByName(terms.filter("term_rank < 5").select("query_id", "term", F.lit(1.0).alias("weight")))
-        scored = rank.match_bm25(parts, posted, self.vocab, self.posted.select("doc_id", "dl").distinct()).join(allowed, ["query_id", "doc_id"], "left_semi")
+        scored = rank.match_bm25(parts, posted, self.vocab, self.rows).join(allowed, ["query_id", "doc_id"], "left_semi")
         after = rank.top_k(scored, c.expanded_k, descending=False)
         held = rank.drift_guard(first, after).filter("keep").select("query_id")
         return after.join(held, "query_id", "left_semi").unionByName(first.join(held, "query_id", "left_anti"))
@@ -98,13 +117,15 @@ class Engine:
         vector; S3_RRF or S3_MMR.
         """
         c = self.built().config
+        final = c.final_k if k is None else k
+        reach, first_k = max(c.rerank_k, final), max(c.first_k, final)
         inside = self.scoped(scope, include, exclude).select("doc_id", "path", "text")
         posted = self.posted.join(inside.select("doc_id"), "doc_id", "left_semi")
         keys = stored(self.keys(queries).filter(F.size("keys") > 0), "keys")
-        first = stored(self.match(keys, posted, c.first_k), "first")
-        found = self.expand(queries, keys, posted, first).filter(F.col("rank") < c.rerank_k)
+        first = stored(self.match(keys, posted, first_k), "first")
+        found = self.expand(queries, keys, posted, first).filter(F.col("rank") < reach)
         terms = rank.bm25(queries, posted, self.vocab, self.stats, c.k1, c.b)
-        top = stored(rank.top_k(found.select("query_id", "doc_id").join(terms, ["query_id", "doc_id"]), c.rerank_k).join(inside, "doc_id"), "top")
+        top = stored(rank.top_k(found.select("query_id", "doc_id").join(terms, ["query_id", "doc_id"]), reach).join(inside, "doc_id"), "top")
         kept = rank.dedup(top, c.jaccard).select("query_id", "doc_id", F.col("new_rank").alias("b_rank"))
         d = top.drop("rank").join(kept, ["query_id", "doc_id"]).withColumn("bm25", rank.minmax(F.col("score"))).drop("score")
         d = self.embed_rank(self.similar(d, queries)).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
@@ -116,15 +137,15 @@ class Engine:
         plain = F.col("numeric") | ~F.col("asked")
         d = d.withColumn("score", F.round(F.when(plain, F.col("bm25")).otherwise(fused), 6))
         share = F.avg((F.col("sim") > 0).cast("double")).over(Window.partitionBy("query_id"))
-        d = d.withColumn("covered", share >= 0.9).withColumn("diverse", ~plain & F.col("covered") & (F.col("n") > c.final_k))
+        d = d.withColumn("covered", share >= 0.9).withColumn("diverse", ~plain & F.col("covered") & (F.col("n") > final))
         d = stored(d, "scored")
-        chosen = rank.mmr(d.filter("diverse"), c.mmr_lambda, c.final_k)
-        straight = rank.top_k(d.filter("not diverse").select("query_id", "doc_id", "score"), c.final_k).select("query_id", "doc_id", F.col("rank").alias("mmr_rank"))
+        chosen = rank.mmr(d.filter("diverse"), c.mmr_lambda, final)
+        straight = rank.top_k(d.filter("not diverse").select("query_id", "doc_id", "score"), final).select("query_id", "doc_id", F.col("rank").alias("mmr_rank"))
         stage = F.when(F.col("numeric"), "S1").when(~F.col("asked"), "S1_embed_fail").when(F.col("covered"), "S3_MMR").otherwise("S3_RRF")
         out = d.join(chosen.unionByName(straight), ["query_id", "doc_id"])
         out = out.withColumn("snippet", snippet(F.col("text"), tokens(F.col("query")), c.snippet_chars)).filter(matches_none(F.col("snippet"), list(exclude_patterns)))
         w = Window.partitionBy("query_id").orderBy("mmr_rank")
-        out = out.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).filter(F.col("rank") < (k or c.final_k))
+        out = out.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).filter(F.col("rank") < final)
         return out.select("query_id", "rank", "doc_id", "path", "score", stage.alias("rank_stage"), "snippet")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.functions import vectors as vf
+from textloom.functions.stem import stem
 from textloom.operators import chunk, evaluate, index, rank
+from textloom.operators.store import Index
 from textloom.plans import search as plan
+from textloom.session import shared_folder
 from textloom.sources import extract, files
 from textloom.streaming import changes
 
@@ -113,9 +117,10 @@ def tokenize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) || ' file 1 kg ABC' AS text FROM documents")
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
+    odd = F.lit("\u2003\ufb01le\u00a0\u2460 \u338f\t\uff21\uff22\uff23\n")  # a ligature, a circled digit, a squared unit, wide letters
+    return table(spark, sf_dir, "documents").select("doc_id", tx.normalize_text(F.concat("text", odd)).alias("text"))
 
 
 @query("SELECT doc_id, upper(md5(text)) AS text_hash FROM documents")
@@ -200,9 +205,12 @@ def gitignore_filter(spark, sf_dir):
     return files.gitignored(variants(spark, sf_dir), rules).select("doc_id", "path")
 
 
-@query("SELECT page_id, true AS is_text FROM pages")
+@query("SELECT page_id, page_id % 3 <> 0 AND page_id % 5 <> 0 AS is_text, page_id % 3 <> 0 AND page_id % 5 <> 0 AS is_utf8_text FROM pages")
 def pred_is_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", files.is_text(F.col("html").cast("binary")).alias("is_text"))
+    """Pages as bytes, some with a NUL and some with a byte that is no UTF-8 at their start."""
+    bad = F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("00"))).when(F.col("page_id") % 5 == 0, F.unhex(F.lit("FF41"))).otherwise(F.unhex(F.lit("")))
+    content = F.concat(bad, F.col("html").cast("binary"))
+    return table(spark, sf_dir, "pages").select("page_id", files.is_text(content).alias("is_text"), files.is_utf8_text(content).alias("is_utf8_text"))
 
 
 @query(r"""WITH q AS (SELECT 'in the 2024 report the and 12' AS q), d AS (SELECT doc_id, lower(text) AS t FROM documents)
@@ -217,14 +225,20 @@ def factual_boost(spark, sf_dir):
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style|noscript)[^>]*>(.|\n)*?</(script|style|noscript)\s*>|<!--(.|\n)*?-->', '', 'g'), '<[^>]*>', chr(10), 'g') AS t FROM pages),
 b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM a)
-SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM b""")
+SELECT page_id, array_to_string(list_concat(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ['café — €5 A&lt;', 'a < b & c']), chr(10)) AS text FROM b""")
 def extract_html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", extract.html_text(F.col("html")).alias("text"))
+    more = F.lit("<p>caf&eacute; &mdash; &#8364;5&nbsp;&#x41;&amp;lt;</p><p>a &lt; b &AMP; c</p>")
+    text = extract.html_text(F.concat("html", more))
+    return table(spark, sf_dir, "pages").select("page_id", F.replace(text, F.lit("\u00a0"), F.lit(" ")).alias("text"))
 
 
-@query("SELECT event_id, props->>'k' AS text FROM events")
+@query("SELECT event_id, '[draft] {keep} ' || (props->>'k') || ' True q\"{y 2.5' AS text, 'a ' || (props->>'k') || ' [b' AS listed, (props->>'k') AS lone FROM events")
 def extract_json_values(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", extract.json_values(F.col("props")).alias("text"))
+    """Strings that look like arrays, booleans, nulls, nested values; arrays and lone values at the top."""
+    k = F.get_json_object("props", "$.k")
+    made = F.concat(F.lit('{"z":"[draft] {keep}","a":'), k, F.lit(',"b":true,"n":null,"o":{"i":1},"l":[1,2],"t":"q\\"{y","d":2.50}'))
+    e = table(spark, sf_dir, "events").select("event_id", made.alias("m"), F.concat(F.lit('["a",'), k, F.lit(',null,[3],"[b"]')).alias("l"), k.alias("k"))
+    return e.select("event_id", *(extract.json_values(F.col(c)).alias(n) for c, n in (("m", "text"), ("l", "listed"), ("k", "lone"))))
 
 
 @query("SELECT user_id, string_agg(props->>'k', chr(10) ORDER BY event_id) AS text FROM events GROUP BY user_id")
@@ -233,9 +247,9 @@ def extract_jsonl(spark, sf_dir):
     return e.select("user_id", extract.jsonl_text(F.array_join(F.transform("r", lambda x: x["props"]), "\n")).alias("text"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ' ' || o_orderstatus || ' ' || o_orderpriority AS text FROM orders")
+@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ' ' || o_orderstatus || ' ' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ' a, \"b\" c last' ELSE '' END AS text FROM orders")
 def extract_csv(spark, sf_dir):
-    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.lit('"a, ""b"" c"\nlast')))
     return table(spark, sf_dir, "orders").select("o_orderkey", extract.csv_text(line).alias("text"))
 
 
@@ -340,7 +354,7 @@ fts AS (SELECT query_id, doc_id, round(-sum(greatest(ln((rn - df + 0.5) / (df +
 )
 
 
-def matched(spark, sf_dir, scope=None, k=600) -> DataFrame:
+def matched(spark, sf_dir, scope=None, k: int | None = 600) -> DataFrame:
     e = engine(spark, sf_dir)
     keys = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(tx.tokens(F.col("text"))).alias("keys"))
     posted = e.posted if scope is None else e.posted.join(e.scoped(scope).select("doc_id"), "doc_id", "left_semi")
@@ -479,7 +493,7 @@ def prf_requery(spark, sf_dir):
 x AS (SELECT query_id, count(*) AS c FROM a JOIN b USING (query_id, doc_id) GROUP BY query_id)
 SELECT query_id, coalesce(c, 0) / 10.0 AS overlap, coalesce(c, 0) / 10.0 >= 0.4 AS keep FROM (SELECT DISTINCT query_id FROM a) LEFT JOIN x USING (query_id)""")
 def prf_drift_guard(spark, sf_dir):
-    m = matched(spark, sf_dir, k=1_000_000)
+    m = matched(spark, sf_dir, k=None)
     w = Window.partitionBy("query_id").orderBy(F.col("doc_id") % 3, "score", "doc_id")
     return rank.drift_guard(m, m.withColumn("rank", F.row_number().over(w) - 1))
 
@@ -534,8 +548,25 @@ def l2_normalize(spark, sf_dir):
 SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS INTEGER) AS rank FROM s QUALIFY rank < 10""")
 def cosine_topk_exact(spark, sf_dir):
     q = asked(spark, sf_dir).filter("qv is not null").select("query_id", "qv")
-    d = vectors_of(spark, sf_dir).join(F.broadcast(q), F.col("doc_id") != F.col("query_id"))  # a stated set of queries
-    return rank.top_k(d.select("query_id", "doc_id", F.round(vf.dot(F.col("v"), F.col("qv")), 6).alias("score")), 10)
+    return rank.top_k(vf.best_products(vectors_of(spark, sf_dir), q, 10), 10)
+
+
+PHRASE = "SELECT item_id AS query_id, array_to_string({w}[3:5], ' ') AS text FROM benchmark".format(w=TOK.format("text"))
+
+
+@query(f"""WITH p AS ({PHRASE}), d AS (SELECT doc_id, ' ' || array_to_string({TOK.format('text')}, ' ') || ' ' AS t FROM documents)
+SELECT query_id, doc_id, len(string_split(t, ' ' || text || ' ')) - 1 AS times FROM p JOIN d ON contains(t, ' ' || text || ' ')""")
+def phrase_match(spark, sf_dir):
+    p = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tx.tokens(F.col("text")), 3, 3), " ").alias("text"))
+    return rank.phrase_match(p, docs_of(spark, sf_dir))
+
+
+@query(None)
+def stem_match(spark, sf_dir):
+    """Documents that hold the stem of each query's longest word; see the tests for the stemmer."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.element_at(tx.by_length(tx.tokens(F.col("text"))), 1).alias("text"))
+    posted = index.postings(docs_of(spark, sf_dir), "doc_id").withColumn("stem", stem(F.col("term")))
+    return rank.stem_match(q, posted, "doc_id")
 
 
 # ---------------------------------------------------------------- whole search and its outputs
@@ -608,10 +639,35 @@ def hit_rate(spark, sf_dir):
     return evaluated(spark, sf_dir).agg(F.round(F.avg((F.col("mrr") > 0).cast("double")), 6).alias("hit_rate"))
 
 
-@query(None)
+def eval_sql(name: str, ranked: str) -> str:
+    """The per-query measures of one ranking (query_id, doc_id, rank); `ideal` and `qr` come before."""
+    return f"""{name}_h AS (SELECT query_id, rank, rel, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM {ranked} JOIN qr USING (query_id, doc_id) WHERE rank < 10),
+{name}_g AS (SELECT query_id, sum(rel / log2(rank + 2)) AS dcg FROM {name}_h GROUP BY query_id),
+{name} AS (SELECT query_id, round(coalesce(dcg / idcg, 0), 6) AS ndcg FROM ideal LEFT JOIN {name}_g USING (query_id))"""
+
+
+IDEAL = f"{QRELS}, ideal AS (SELECT query_id, count(*) AS n_rel, sum(CASE WHEN i < 10 THEN rel / log2(i + 2) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) - 1 AS i FROM qr) GROUP BY query_id)"
+
+
+@query(f"""WITH {SIM}, {IDEAL}, {eval_sql('eb', 'top')}, hall AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM fused), {eval_sql('eh', 'hall')},
+d AS (SELECT eb.ndcg - eh.ndcg AS d FROM eb JOIN eh USING (query_id))
+SELECT count(*) AS n, round(avg(d), 6) AS difference, round(CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 6) AS t FROM d""")
 def compare_runs(spark, sf_dir):
     e, q, r = engine(spark, sf_dir), asked(spark, sf_dir), qrels_of(spark, sf_dir)
-    return evaluate.paired_t(evaluate.measures(e.rank(q, "bm25", 28), r), evaluate.measures(e.rank(q, "hybrid", 28), r), "ndcg")
+    return evaluate.paired_t(evaluate.measures(e.rank(q, "bm25", 28), r), evaluate.measures(e.rank(q, "hybrid", 28), r), "ndcg").select("n", "difference", "t")
+
+
+@query(f"""WITH {SIM}, {IDEAL}, {eval_sql('eb', 'top')}, hall AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM fused), {eval_sql('eh', 'hall')}
+SELECT 'bm25' AS mode, count(*) AS queries, round(avg(ndcg), 6) AS ndcg FROM eb UNION ALL SELECT 'hybrid', count(*), round(avg(ndcg), 6) FROM eh""")
+def eval_report(spark, sf_dir):
+    e, q, r = engine(spark, sf_dir), asked(spark, sf_dir), qrels_of(spark, sf_dir)
+    return evaluate.report({m: e.rank(q, m, 28) for m in ("bm25", "hybrid")}, r).select("mode", "queries", "ndcg")
+
+
+@query("SELECT * FROM (VALUES ('own', 'a', 0.7, true), ('x', 'a', 0.9, false), ('x', 'b', 0.6, false), ('own', 'b', 0.61, true)) t(system, dataset, ndcg, own)")
+def published_comparison(spark, sf_dir):
+    own = spark.createDataFrame([("own", "a", 0.7), ("own", "b", 0.61)], "mode string, dataset string, ndcg double")
+    return evaluate.against_published(own, spark.createDataFrame([("x", "a", 0.9), ("x", "b", 0.6)], "system string, dataset string, ndcg double"))
 
 
 @query(f"WITH {BM25} SELECT query_id, '/corpus/' || lang || '/' || source AS path, max(score) AS score FROM top JOIN documents d ON d.doc_id = top.doc_id GROUP BY ALL")
@@ -731,6 +787,89 @@ def index_status(spark, sf_dir):
     return index.status(catalog_of(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
 
 
+# ---------------------------------------------------------------- the stored index
+
+
+def corpus_files(spark, sf_dir) -> DataFrame:
+    return docs_of(spark, sf_dir, "n_chars").select("doc_id", "path", F.col("n_chars").alias("size"), F.lit(1.0).alias("mtime"), "text")
+
+
+def new_index(spark) -> Index:
+    return Index(spark, f"{shared_folder(spark)}/textloom-index-{uuid.uuid4().hex}")
+
+
+def files_and_chunks(ix: Index) -> DataFrame:
+    n = ix.chunks().groupBy("file_uid").agg(F.count("*").alias("chunks"))
+    return ix.files().join(n, "file_uid", "left").select("path", "status", "mtime", "n_tokens", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+N_CHUNKS = "CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 220 THEN 1 ELSE CAST(ceil((len(w) - 220) / 200.0) AS BIGINT) + 1 END"
+
+
+@query(f"WITH d AS (SELECT *, {WORDS.format('text')} AS w FROM documents) SELECT {PATH} AS path, 'active' AS status, 1.0::DOUBLE AS mtime, len({TOK.format('text')}) AS n_tokens, {N_CHUNKS} AS chunks FROM d")
+def index_build(spark, sf_dir):
+    return files_and_chunks(new_index(spark).build(corpus_files(spark, sf_dir).drop("doc_id")))
+
+
+CHANGED = "text || CASE WHEN doc_id % 4 = 0 THEN ' changed a bit' ELSE '' END"
+
+
+def refreshed(spark, sf_dir) -> Index:
+    """Built of two thirds; then some files are gone, some new, some changed, some only touched."""
+    d = corpus_files(spark, sf_dir)
+    ix = new_index(spark).build(d.filter("doc_id % 3 <> 0").drop("doc_id"))
+    now = d.filter("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" changed a bit"))).otherwise(F.col("text")))
+    now = now.withColumn("mtime", F.when((F.col("doc_id") % 4 == 0) | (F.col("doc_id") % 7 == 0), 2.0).otherwise(1.0)).drop("doc_id")
+    return ix.refresh(now).sweep(now.select("path"))
+
+
+@query(f"""WITH d AS (SELECT *, {CHANGED} AS t, {WORDS.format(CHANGED)} AS w FROM documents WHERE doc_id % 5 <> 0)
+SELECT {PATH} AS path, 'active' AS status, CASE WHEN doc_id % 4 = 0 OR doc_id % 7 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS mtime, len({TOK.format('t')}) AS n_tokens, {N_CHUNKS} AS chunks FROM d
+UNION ALL SELECT {PATH}, 'missing', 1.0, len({TOK.format('text')}), 0 FROM documents WHERE doc_id % 5 = 0 AND doc_id % 3 <> 0""")
+def index_refresh(spark, sf_dir):
+    return files_and_chunks(refreshed(spark, sf_dir))
+
+
+CHUNKED = f"""c0 AS (SELECT doc_id, {WORDS.format('t')} AS w FROM base), c1 AS (SELECT doc_id, w, {N_CHUNKS} AS n FROM c0), c2 AS (SELECT doc_id, w, n, unnest(range(0, n)) AS i FROM c1),
+ch AS (SELECT doc_id, CASE WHEN n > 1 THEN i END AS i, array_to_string(w[i * 200 + 1:i * 200 + 220], ' ') AS text FROM c2),
+cp AS (SELECT doc_id, i, dl, term, count(*) AS tf FROM (SELECT doc_id, i, len({TOK.format('text')}) AS dl, unnest({TOK.format('text')}) AS term FROM ch) GROUP BY ALL)"""
+
+
+@query(f"WITH base AS (SELECT doc_id, {CHANGED} AS t FROM documents WHERE doc_id % 5 <> 0), {CHUNKED} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cnt FROM cp GROUP BY term")
+def index_vocabulary(spark, sf_dir):
+    """Sums over segments after files went, came and changed."""
+    return refreshed(spark, sf_dir).vocabulary()
+
+
+@query(f"""WITH base AS (SELECT doc_id, {CHANGED} AS t FROM documents WHERE doc_id % 5 <> 0), {CHUNKED},
+f AS (SELECT count(*) AS n, sum(len({TOK.format('t')})) AS s FROM base), r AS (SELECT count(*) AS rows, sum(dl) AS s FROM (SELECT DISTINCT doc_id, i, dl FROM cp))
+SELECT n, round(f.s / n, 6) AS avgdl, rows, round(r.s / rows, 6) AS row_avgdl FROM f, r""")
+def index_compact(spark, sf_dir):
+    t = refreshed(spark, sf_dir).compact().totals()
+    return t.select("n", F.round("avgdl", 6).alias("avgdl"), "rows", F.round("row_avgdl", 6).alias("row_avgdl"))
+
+
+@query(f"""WITH base AS (SELECT doc_id, text AS t FROM documents), {CHUNKED}, v AS (SELECT term, count(*) AS df FROM cp GROUP BY term),
+st AS (SELECT count(*) AS n, sum(len({TOK.format('t')})) / count(*) AS avgdl FROM base), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOK.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+b AS (SELECT query_id, 'f_' || md5({PATH.replace('doc_id', 'd.doc_id')}) || CASE WHEN i IS NULL THEN '' ELSE '::' || i END AS doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+  FROM qt JOIN v USING (term) JOIN cp USING (term) JOIN documents d ON d.doc_id = cp.doc_id, st GROUP BY ALL)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS INTEGER) AS rank FROM b QUALIFY rank < 20""")
+def search_chunks(spark, sf_dir):
+    """BM25 over the chunks of a stored index."""
+    ix = new_index(spark).build(corpus_files(spark, sf_dir).drop("doc_id"))
+    return plan.Engine.of(ix).rank(asked(spark, sf_dir), "bm25")
+
+
+@query("SELECT doc_id, CAST(vec_id IS NOT NULL AS BOOLEAN) AS found FROM documents LEFT JOIN embeddings ON vec_id = doc_id AND vec_id % 2 = 0")
+def vector_fetch(spark, sf_dir):
+    """Vectors by text hash, model, dimensions and version; half are of another version."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.md5(F.col("doc_id").cast("string"))).alias("text_hash"))
+    e = table(spark, sf_dir, "embeddings").join(d, F.col("vec_id") == F.col("doc_id"))
+    rows = e.select("text_hash", F.lit("m").alias("model"), F.lit(64).alias("dim"), F.when(F.col("vec_id") % 2 == 0, "1").otherwise("0").alias("version"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(1.0).alias("created"))
+    ix = new_index(spark).create().put_vectors(rows)
+    return d.join(ix.vectors("m", 64, "1"), "text_hash", "left").select("doc_id", F.col("vector").isNotNull().alias("found"))
+
+
 # ---------------------------------------------------------------- change feeds
 
 
@@ -745,7 +884,7 @@ def change_coalesce(spark, sf_dir):
 
 @query("WITH s AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) <= INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS b, event_id FROM events), g AS (SELECT ts, sum(b) OVER (ORDER BY ts, event_id) AS g FROM s) SELECT min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events FROM g GROUP BY g")
 def debounce_sessions(spark, sf_dir):
-    return changes.sessions(feed(spark, sf_dir), "5 minutes")
+    return changes.debounced(feed(spark, sf_dir), 300)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS op, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

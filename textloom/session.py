@@ -24,16 +24,19 @@ def ensure_importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir) and read again, so that plans which use it
-    often don't make it again. Only a local session may go without that setting."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which the driver and all executors share. Only a local session may go without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/textloom-{tag}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again, so that plans which use it often don't make it again."""
+    path = f"{shared_folder(df.sparkSession)}/textloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,7 +19,16 @@ from pyspark.sql.types import StringType
 
 from .files import extension_of
 
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+@F.pandas_udf(StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else html.unescape(t))
+
+
+def unescape(text: Column) -> Column:
+    """All character references decoded, named and numeric; texts without any don't leave the JVM's expression."""
+    has = text.rlike(r"&(?:#[0-9xX]|[A-Za-z])")
+    return F.when(has, _decoded(F.when(has, text))).otherwise(text)
 
 
 def plain(content: Column) -> Column:
@@ -29,19 +38,31 @@ def plain(content: Column) -> Column:
 
 
 def html_text(page: Column) -> Column:
-    """Text nodes, one a line, without scripts, styles and comments; common entities decoded."""
+    """Text nodes, one a line, without scripts, styles and comments; character references decoded."""
     d = F.regexp_replace(page, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", "")
-    d = F.regexp_replace(d, r"(?s)<[^>]*>", "\n")
-    for entity, char in _ENTITIES.items():
-        d = F.replace(d, F.lit(entity), F.lit(char))
-    lines = F.filter(F.transform(F.split(d, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.array_join(lines, "\n")
+    d = F.regexp_replace(d, r"(?s)</?[A-Za-z!?][^>]*>", "\n")
+    lines = F.transform(F.split(unescape(d), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+_PLAIN = r"^(?:STRING|BOOLEAN|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+
+def _shown(v: Column) -> Column:
+    """A JSON value as text; null for objects, arrays and null. Kinds are told by type, not by looks."""
+    kind = F.schema_of_variant(v)
+    word = F.when(kind == "BOOLEAN", F.initcap(v.cast("string"))).when(kind.rlike("^(?:DECIMAL|DOUBLE|FLOAT)"), v.cast("double").cast("string")).otherwise(v.cast("string"))
+    return F.when(kind.rlike(_PLAIN), word)
 
 
 def json_values(text: Column) -> Column:
-    """Top-level strings and numbers of an object, joined by spaces; nested values and nulls are left out."""
-    values = F.map_values(F.from_json(text, "map<string,string>"))
-    return F.array_join(F.filter(values, lambda v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]")), " ")
+    """Top-level strings, numbers and booleans of an object or array, in their order, joined by spaces; nested
+    values and nulls are left out. A lone value is itself; what is no JSON is null."""
+    whole = F.try_parse_json(text)
+    first = F.left(F.ltrim(text), F.lit(1))
+    values = F.when(first == "{", F.map_values(F.from_json(text, "map<string,variant>"))).when(first == "[", F.from_json(text, "array<variant>"))
+    joined = F.array_join(F.filter(F.transform(values, _shown), lambda v: v.isNotNull()), " ")
+    return F.when(whole.isNotNull(), F.when(first.isin("{", "["), joined).otherwise(F.coalesce(_shown(whole), F.lit("None"))))
 
 
 def jsonl_text(text: Column) -> Column:
@@ -182,6 +203,3 @@ def extract_text(files: DataFrame) -> DataFrame:
     )
     return files.withColumn("text", out).drop("content")
 
-
-def unescape(text: str) -> str:
-    return html.unescape(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +26,22 @@ __pycache__ .venv venv env .env .tox .pytest_cache .mypy_cache .ruff_cache .pyty
 bin obj packages dist build _build out output .output .next .nuxt .svelte-kit .vercel .netlify .parcel-cache .webpack .rollup.cache
 .idea .vscode .vs .eclipse .settings .project .classpath .factorypath .DS_Store Thumbs.db .Spotlight-V100 .Trashes ehthumbs.db Desktop.ini $RECYCLE.BIN
 .cache .tmp tmp temp .temp .sass-cache .eslintcache .stylelintcache coverage .nyc_output htmlcov .coverage __snapshots__ .jest
-.terraform .vagrant .docker .turbo .nx .rush logs log .lss""".split()
+.terraform .vagrant .docker .turbo .nx .rush logs log""".split()
 EXCLUDED_FILES = """package-lock.json yarn.lock pnpm-lock.yaml Gemfile.lock Pipfile.lock poetry.lock uv.lock composer.lock Cargo.lock go.sum flake.lock
 .gitattributes .gitmodules .env .env.local .env.production .env.development .env.staging .env.test .DS_Store Thumbs.db desktop.ini .npmrc .npmignore
 pip-log.txt pip-delete-this-directory.txt""".split()
 PLAIN_NAMES = """Makefile GNUmakefile makefile Dockerfile Containerfile Vagrantfile Procfile Brewfile Gemfile Rakefile Guardfile LICENSE LICENCE COPYING NOTICE README CHANGELOG CHANGES HISTORY
 AUTHORS CONTRIBUTORS INSTALL TODO HACKING .gitignore .gitattributes .gitmodules .dockerignore .editorconfig .eslintignore .prettierignore .npmignore .slugignore .flake8 .pylintrc .rubocop.yml
 .clang-format .clang-tidy CMakeLists.txt go.mod go.sum requirements.txt constraints.txt setup.py setup.cfg""".split()
+BROWSER_DIRS = "chromium google-chrome chrome brave edge msedge electron".split()
+BROWSER_CACHES = ["cache", "cache_data", "code cache", "gpucache", "shadercache", "grshadercache", "graphitedawncache"]
 WATCH_IGNORED_EXTENSIONS = ".pyc .pyo .class .o .so .dylib .dll .db .db-shm .db-wal .sqlite .sqlite3 .lock .log .png .jpg .jpeg .gif .bmp .ico .svg .webp .mp3 .mp4 .wav .avi .mkv .mov .zip .tar .gz .bz2 .xz .7z .rar .whl .egg".split()
 WATCH_IGNORED_DIRS = "__pycache__ .git .svn .hg node_modules .venv venv .tox .mypy_cache .pytest_cache dist build .eggs .cache".split()
 
 
+OWN_DIR = ".textloom"  # where this project keeps an index in a folder
+
+
 def name_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -54,34 +60,54 @@ def glob(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (text.rlike(fnmatch.translate(p).replace(r"\z", r"\Z")) for p in patterns), F.lit(False))
 
 
+def excluded(path: Column, patterns: list[str]) -> Column:
+    """Whether a user's patterns name a path (relative to the folder): a glob on the name or the whole path, or
+    the bare name of a folder or file."""
+    bare = [p for p in patterns if not set(p) & set("/*?")]
+    return glob(name_of(path), patterns) | glob(path, patterns) | F.exists(F.split(path, "/"), lambda x: x.isin(bare))
+
+
+def pruned(path: Column, size: Column, max_size: int, exclude: list[str]) -> Column:
+    """Whether a file is out by its path and size alone, whatever it holds."""
+    name, ext, dirs = name_of(path), extension_of(path), dirs_of(path)
+    eggs = F.exists(dirs, lambda d: d.endswith(".egg-info"))
+    hidden = F.arrays_overlap(dirs, F.array(*map(F.lit, [*EXCLUDED_DIRS, OWN_DIR]))) | F.exists(dirs, lambda d: d.startswith(".")) | eggs
+    return hidden | F.lower(ext).isin(BINARY_EXTENSIONS) | name.isin(EXCLUDED_FILES) | excluded(path, exclude) | ~size.between(1, max_size)
+
+
+def listed(path: Column, include: list[str]) -> Column:
+    """Whether the extension, or the name of a file without one, is known to be text."""
+    ext = F.lower(extension_of(path))
+    return ext.isin([*(x.lower() for x in TEXT_EXTENSIONS), *include]) | (ext == "") & name_of(path).isin(PLAIN_NAMES)
+
+
 def walk_filter(path: Column, size: Column, max_size: int = 2 * 1024 * 1024, include: list[str] = (), exclude: list[str] = ()) -> Column:
-    """Whether a file is indexed, from its path (relative to the folder) and size: no excluded or hidden
+    """Whether a file is indexed, from its path (relative to the folder) and size alone: no excluded or hidden
     folder above it, no binary extension, no excluded name or user's pattern, a listed extension or name."""
-    name, ext, dirs = name_of(path), extension_of(path), dirs_of(path)
-    allowed = F.lower(ext).isin([*(x.lower() for x in TEXT_EXTENSIONS), *include]) | name.isin(PLAIN_NAMES)
-    pruned = F.arrays_overlap(dirs, F.array(*map(F.lit, EXCLUDED_DIRS))) | F.exists(dirs, lambda d: d.startswith("."))
-    user = F.lit(False)
-    if exclude:
-        user = glob(name, list(exclude)) | F.exists(dirs, lambda d: d.isin(list(exclude)))
-    return ~pruned & ~F.lower(ext).isin(BINARY_EXTENSIONS) & ~name.isin(EXCLUDED_FILES) & ~user & allowed & size.between(1, max_size)
+    return ~pruned(path, size, max_size, list(exclude)) & listed(path, list(include))
 
 
-def ignored(path: Column, exclude: list[str] = (), max_depth: int | None = None) -> Column:
-    """Whether a watcher ignores a changed path."""
-    dirs, ext = dirs_of(path), F.lower(extension_of(path))
-    out = ext.isin(WATCH_IGNORED_EXTENSIONS) | F.arrays_overlap(dirs, F.array(*map(F.lit, WATCH_IGNORED_DIRS))) | F.exists(F.split(path, "/"), lambda p: p.rlike(r"^\.[^.]"))
+def ignored(path: Column, exclude: list[str] = (), max_depth: int | None = None, folder: str = "") -> Column:
+    """Whether a watcher ignores a changed path below a folder."""
+    inside = F.when(path.startswith(folder), F.substring(path, F.lit(len(folder) + 1), F.length(path))).otherwise(path) if folder else path
+    parts, ext = F.split(inside, "/"), F.lower(extension_of(path))
+    low = F.split(F.lower(path), "/")
+    out = ext.isin(WATCH_IGNORED_EXTENSIONS) | F.arrays_overlap(parts, F.array(*map(F.lit, [*WATCH_IGNORED_DIRS, OWN_DIR]))) | F.exists(parts, lambda p: p.rlike(r"^\.[^.]"))
+    out = out | F.arrays_overlap(low, F.array(*map(F.lit, BROWSER_DIRS))) & F.arrays_overlap(low, F.array(*map(F.lit, BROWSER_CACHES)))
     if exclude:
-        out = out | glob(name_of(path), list(exclude))
-    return out if max_depth is None else out | (F.size(dirs) > max_depth)
+        out = out | excluded(inside, list(exclude)) | reduce(lambda a, b: a | b, (F.contains(path, F.lit(p)) for p in exclude if "/" in p and not set(p) & set("*?")), F.lit(False))
+    return out if max_depth is None else out | (F.size(dirs_of(inside)) > max_depth)
 
 
 def gitignored(listing: DataFrame, rules: DataFrame) -> DataFrame:
     """listing (path, ...) without what rules (dir, pattern) of .gitignore files name in their subtree.
 
-    A pattern is a glob on a file's or folder's own name; comments, blanks and negations are no rules.
+    A pattern is a glob on a file's own name, or on a folder's if it ends in a slash; comments, blanks and
+    negations are no rules. Rules meet distinct names, not files.
     """
-    parts = F.explode(F.array_distinct(F.split("path", "/"))).alias("part")
-    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.rtrim("pattern", F.lit("/")), r"([.+^$(){}|\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
+    folders = F.transform(dirs_of(F.col("path")), lambda x: F.concat(x, F.lit("/")))
+    parts = F.explode(F.array_distinct(F.concat(F.array(name_of(F.col("path"))), folders))).alias("part")
+    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("pattern", r"([.+^$(){}|\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
     rule = rules.filter(~F.col("pattern").rlike(r"^\s*(#|!|$)")).select("dir", regex.alias("regex"))
     names = listing.select("path", parts)
     distinct = names.select("part").distinct().join(rule, F.expr("part rlike regex")).select("part", "dir")
@@ -89,21 +115,60 @@ def gitignored(listing: DataFrame, rules: DataFrame) -> DataFrame:
     return listing.join(gone.distinct(), "path", "left_anti")
 
 
-def list_files(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """(path, size, mtime) of the files to index; contents aren't read."""
-    base = folder.rstrip("/") + "/"
+def _binary_files(spark: SparkSession, folder: str) -> DataFrame:
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    d = d.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").cast("double").alias("mtime"))
-    inside = F.expr(f"substring(path, {len(base) + 1})")
-    return d.filter(walk_filter(inside, F.col("size"), **options))
+    path = F.regexp_replace("path", r"^file:/+", "/")
+    inside = F.substring(path, F.lit(len(folder.rstrip("/")) + 2), F.length(path))
+    return d.select(path.alias("path"), inside.alias("inside"), F.col("length").alias("size"), F.unix_micros("modificationTime").cast("double").alias("mtime"), "content")
+
+
+def gitignore_rules(listing: DataFrame, folder: str) -> DataFrame:
+    """(dir, pattern) of the .gitignore files in the folders that listing (inside) names. Spark's readers pass
+    over names that begin with a dot, so executors open these files themselves, each folder's once."""
+    parts = dirs_of(F.col("inside"))
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.transform(F.slice(parts, F.lit(1), i), lambda x: F.concat(x, F.lit("/"))), ""))
+    dirs, base = listing.select(F.explode(above).alias("dir")).distinct(), folder.rstrip("/") + "/"
+    schema = pa.schema([("dir", pa.string()), ("pattern", pa.string())])
+
+    def run(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            for d in b.column(0).to_pylist():
+                place, path = fs.FileSystem.from_uri(f"{base}{d}.gitignore")
+                if place.get_file_info(path).type == fs.FileType.File:
+                    with place.open_input_stream(path) as f:
+                        lines = [x.strip() for x in f.read().decode(errors="replace").splitlines()]
+                    yield pa.RecordBatch.from_arrays([pa.array([d] * len(lines), pa.string()), pa.array(lines, pa.string())], schema=schema)
+
+    return dirs.mapInArrow(run, "dir string, pattern string")
+
+
+def list_files(spark: SparkSession, folder: str, max_size: int = 2 * 1024 * 1024, include: list[str] = (), exclude: list[str] = (), gitignore: bool = True) -> DataFrame:
+    """(path, size, mtime) of the files to index. Files without an extension and without a known name are
+    looked into (their first 8 KB); no other content is read, but for .gitignore files, whose rules hold in
+    their subtree (pass gitignore=False for a store that only Spark can read)."""
+    d = _binary_files(spark, folder)
+    named = d.drop("content").filter(~pruned(F.col("inside"), F.col("size"), max_size, list(exclude)))
+    known = named.filter(listed(F.col("inside"), list(include)))
+    unknown = d.filter((extension_of(F.col("inside")) == "") & ~pruned(F.col("inside"), F.col("size"), max_size, list(exclude)) & ~listed(F.col("inside"), list(include)))
+    out = known.unionByName(unknown.filter(is_utf8_text(F.col("content"))).drop("content"))
+    if gitignore:
+        left = gitignored(out.select(F.col("inside").alias("path"), F.col("path").alias("full"), "size", "mtime"), gitignore_rules(out, folder))
+        return left.select(F.col("full").alias("path"), "size", "mtime")
+    return out.drop("inside")
 
 
 def read_files(spark: SparkSession, folder: str, **options) -> DataFrame:
     """(path, size, mtime, content) of the files to index."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    d = d.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").cast("double").alias("mtime"), "content")
-    inside = F.expr(f"substring(path, {len(folder.rstrip('/')) + 2})")
-    return d.filter(walk_filter(inside, F.col("size"), **options))
+    content = _binary_files(spark, folder).select("path", "content")
+    return list_files(spark, folder, **options).join(content, "path").select("path", "size", "mtime", "content")
+
+
+def is_utf8_text(content: Column) -> Column:
+    """No NUL and valid UTF-8 in the first 8 KB."""
+    head = F.substring(content, 1, 8192).cast("string")
+    return F.is_valid_utf8(head) & ~F.contains(head, F.lit("\u0000")) & (F.length(content) > 0)
 
 
 def is_text(content: Column) -> Column:

@@ -26,11 +26,21 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return events.groupBy(s).agg(F.count("*").alias("n_events"), F.max("ts").alias("last_ts")).select(F.col("session_window.start").alias("first_ts"), "last_ts", "n_events")
 
 
-def batch_sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
-    """events with session_id, by windows over days and a running sum of their ends: no task holds all rows in memory."""
-    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > gap_seconds * 1_000_000
-    return events.withColumn("new_session", F.coalesce(gap, F.lit(True)))
+def debounced(events: DataFrame, gap_seconds: int, span: str = "1 day") -> DataFrame:
+    """sessions() of a stored feed without one task for all of it: sessions within spans of time, in parallel;
+    then only the first and last session of each span are put in order and joined over the spans' ends."""
+    gap = F.expr(f"INTERVAL '{int(gap_seconds)}' SECOND")
+    far = lambda a, b: F.coalesce(a - b > gap, F.lit(True)).cast("int")
+    order = Window.partitionBy("span").orderBy("ts", "event_id")
+    d = events.filter("ts is not null").select("ts", "event_id", F.window("ts", span)["start"].alias("span"))
+    d = d.withColumn("new", far(F.col("ts"), F.lag("ts").over(order))).withColumn("s", F.sum("new").over(order))
+    d = d.groupBy("span", "s").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_events"))
+    w = Window.partitionBy("span")
+    d = d.withColumn("edge", (F.col("s") == F.min("s").over(w)) | (F.col("s") == F.max("s").over(w)))
+    line = Window.orderBy("first_ts")  # two rows for each span at most
+    ends = d.filter("edge").withColumn("g", far(F.col("first_ts"), F.lag("last_ts").over(line))).withColumn("g", F.sum("g").over(line))
+    joined = ends.groupBy("g").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n_events").alias("n_events"))
+    return d.filter("not edge").select("first_ts", "last_ts", "n_events").unionByName(joined.drop("g"))
 
 
 def windowed(events: DataFrame, size: str, slide: str | None = None) -> DataFrame:
