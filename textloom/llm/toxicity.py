@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, held_out, texts
+from .common import batch, blocks, held_out, materialize, texts
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -79,34 +79,42 @@ class Model:
         return self.__dict__ | {"_seen": {}}
 
 
-def induce(rows: list[tuple[str, int]], most: int = 600) -> Model:
-    """Lexicons from labelled texts: entries by smoothed log odds of texts that hold them often enough."""
-    n = np.array([sum(1 for _, y in rows if y == c) for c in (0, 1)], dtype=float)
-    found: dict[tuple[str, int], list[int]] = {}
-    for text, y in rows:
-        count: Counter = Counter()
-        for w, c in Counter(tokens(text)).items():
-            for e in entries(w):
-                count[e] += c
-        for e, c in count.items():
-            for t in TIMES:
-                if c < t:
-                    break
-                found.setdefault((e, t), [0, 0])[y] += 1
-    least = max(3, int(0.01 * n[1]))
-    ranked = []
-    for (e, t), (clean, toxic) in found.items():
-        if toxic >= least:
-            odds = np.log((toxic + 0.3) / (n[1] + 1)) - np.log((clean + 0.3) / (n[0] + 1))
-            if odds > 1.8:
-                ranked.append((odds * np.sqrt(toxic), e, t, odds))
-    ranked.sort(key=lambda r: (-r[0], r[1], r[2]))
-    ranked = ranked[:most]
+def entry_counts(sample: DataFrame) -> DataFrame:
+    """(entry, times, clean, toxic): for each lexicon entry and number of times, the texts of each label that
+    hold it that often. Counted where the texts are, a bounded stretch at a time."""
+    schema = pa.schema([("entry", pa.string()), ("times", pa.int32()), ("clean", pa.int64()), ("toxic", pa.int64())])
+
+    def run(batches):
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for held in blocks(rows, lambda r: len(r[0]), 1_000_000):
+            found: dict[tuple[str, int], list[int]] = {}
+            for text, label in held:
+                count: Counter = Counter()
+                for w, c in Counter(tokens(text)).items():
+                    for e in entries(w):
+                        count[e] += c
+                for e, c in count.items():
+                    for t in TIMES:
+                        if c >= t:
+                            found.setdefault((e, t), [0, 0])[label] += 1
+            if found:
+                yield batch(schema, [e for e, _ in found], [t for _, t in found], [c for c, _ in found.values()], [c for _, c in found.values()])
+
+    made = sample.select("text", "toxic").mapInArrow(run, "entry string, times int, clean long, toxic long")
+    return made.groupBy("entry", "times").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def induce(sample: DataFrame, n_clean: int, n_toxic: int, most: int = 600) -> Model:
+    """Lexicons from labelled texts: the `most` best entries by smoothed log odds of texts that hold them
+    often enough. Only these come to the driver."""
+    odds = F.log((F.col("toxic") + 0.3) / (n_toxic + 1)) - F.log((F.col("clean") + 0.3) / (n_clean + 1))
+    found = entry_counts(sample).filter(F.col("toxic") >= max(3, int(0.01 * n_toxic))).withColumn("odds", odds).filter("odds > 1.8")
+    ranked = found.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "entry", "times").limit(most).collect()
     lexicon: dict[str, int] = {}
-    need = [(lexicon.setdefault(e, len(lexicon)), t) for _, e, t, _ in ranked]
+    need = [(lexicon.setdefault(r.entry, len(lexicon)), r.times) for r in ranked]
     strong = np.zeros(len(lexicon), dtype=bool)
     for (i, t), r in zip(need, ranked, strict=True):
-        strong[i] |= t == 1 and r[3] > 3
+        strong[i] |= t == 1 and r.odds > 3
     return Model(lexicon, need, strong)
 
 
@@ -160,21 +168,48 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 2
     return w
 
 
-def train(rows: list[tuple[str, int]]) -> Model:
+def sample(docs: DataFrame, labels: DataFrame, most: int = 6000, modulus: int = 5) -> DataFrame:
+    """Labelled training texts (doc_id, text, toxic), stored: at most `most` labelled ids, in the order of a
+    hash. Of the texts of one id the least is taken, of its labels the greatest."""
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(modulus))
+    chosen = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id")  # `most` rows
+    return materialize(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")
+
+
+def features_of(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries that a text holds often enough, densities, label) of the sample, in the order of its ids.
+    Features are made on the executors; no text comes to the driver."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("found", pa.list_(pa.int32())), ("dense", pa.list_(pa.float64()))])
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            made = [m.features(t) for t in b.column(1).to_pylist()]
+            yield batch(schema, b.column(0), b.column(2), [f for f, _ in made], [d.tolist() for _, d in made])
+
+    t = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, found array<int>, dense array<double>").toArrow().sort_by("doc_id")
+    on = np.zeros((t.num_rows, len(model.need)), dtype=bool)
+    for i, f in enumerate(t.column("found").to_pylist()):
+        on[i, f] = True
+    return on, np.array(t.column("dense").to_pylist(), dtype=float).reshape(t.num_rows, -1), t.column("toxic").to_numpy().astype(float)
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = 6000, modulus: int = 5) -> Model:
     """A model from labelled texts. Without toxic or clean ones: each text scores the smoothed share."""
-    y = np.array([t for _, t in rows], dtype=float)
-    share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.25
-    if not len(y) or y.min() == y.max():
+    rows = sample(docs, labels, most, modulus)
+    n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    clean, toxic = n.get(0, 0), n.get(1, 0)
+    share = (toxic + 0.5) / (clean + toxic + 1) if n else 0.25
+    if not clean or not toxic:
         return Model({}, [], np.zeros(0, dtype=bool), np.array([np.log(share / (1 - share)), 0, 0, 0, 0]))
-    model = induce(rows)
-    pairs = [model.features(t) for t, _ in rows]
-    on = np.zeros((len(rows), len(model.need)), dtype=bool)
-    for i, (f, _) in enumerate(pairs):
-        on[i, f] = True
-    dense = np.stack([d for _, d in pairs])
+    model = induce(rows, clean, toxic)
+    on, dense, y = features_of(rows, model)
     post, _, _ = label_model(votes(on, dense), share)
-    model.weights = fit_linear(np.concatenate([on.astype(float), dense], axis=1), post)
-    z = np.concatenate([on.astype(float), dense], axis=1) @ model.weights
+    x = np.concatenate([on, dense], axis=1, dtype=float)
+    model.weights = fit_linear(x, post)
+    z = x @ model.weights
     cut = np.unique(z)
     mids = np.concatenate([[cut[0] - 1], (cut[1:] + cut[:-1]) / 2, [cut[-1] + 1]])
     order = np.sort(z[y == 1]), np.sort(z[y == 0])
@@ -184,14 +219,6 @@ def train(rows: list[tuple[str, int]]) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = 6000, modulus: int = 5) -> list[tuple[str, int]]:
-    """Labelled training texts: at most `most` labelled ids, in the order of a hash."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(modulus))
-    chosen = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
-    return [(r.text, int(r.toxic)) for r in sorted(rows, key=lambda r: r.doc_id)]
-
-
 def score(docs: DataFrame, labels: DataFrame, most: int = 6000, modulus: int = 5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of docs.
 
@@ -200,7 +227,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = 6000, modulus: int = 5
     as held out. Repeated rows are scored each; an empty table gives no rows; without labels every score
     is the same. Extra columns are left out.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, most, modulus)))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most, modulus))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
@@ -213,8 +240,13 @@ def score(docs: DataFrame, labels: DataFrame, most: int = 6000, modulus: int = 5
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose score is 0.5 or more."""
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, **options)))
+    """docs without the rows whose score is 0.5 or more, in one scan; all columns stay as they are.
+
+    Null and empty texts score as texts without words, and each row of a repeated one is judged alike; long
+    texts are read whole. Labels are joined by `doc_id` for training only, so rows of a null id are judged
+    as well. An empty table gives no rows. Columns other than `doc_id` and `text` may have any name.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
 
     def run(batches):
         m = model.value
