@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 MARK = "[SECRET]"
 _NAMES = r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?)"
 _ASSIGN = _NAMES + r"[\"']?\s{0,3}[:=]{1,2}>?\s{0,3}[\"']?"
-_PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]{0,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----"
+_PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?!-----)[A-Za-z0-9+/=\s:,-])*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
 _JWT = r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"
 _PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk[-_]|rk_live|AIza|ya29|npm_|SG\.)"
 # One alternative for each prefix of KNOWN; eyJ and -----BEGIN are _JWT and _PEM.
 _PREFIXED = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{12,}|gh[pousr]_[A-Za-z0-9_]{16,}|github_pat_[A-Za-z0-9_]{16,}|glpat-[A-Za-z0-9_-]{16,}|xox[abeprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{16,}|rk_live[A-Za-z0-9_]{16,}|AIza[A-Za-z0-9_-]{16,}|ya29[A-Za-z0-9._-]{16,}|npm_[A-Za-z0-9]{16,}|SG\.[A-Za-z0-9._-]{16,})"
 # A run ends before a known prefix, so that a path doesn't swallow the token at its end.
 _ON = rf"(?![+/_-]{_PREFIX})"
-_RUN = rf"(?<![A-Za-z0-9+/_-])(?=(?:{_ON}[A-Za-z+/_-]){{0,200}}+[0-9])(?:{_ON}[A-Za-z0-9+/_-]){{16,}}+={{0,2}}"
+_RUN = rf"(?<![A-Za-z0-9+/_-])(?=(?:{_ON}[A-Za-z+/_-])*+[0-9])(?:{_ON}[A-Za-z0-9+/_-]){{16,}}+={{0,2}}"
 CANDIDATE = f"{_PEM}|{_JWT}|{_ASSIGN}[^\\s\"',;]{{8,}}|{_PREFIXED}|{_RUN}"
 KNOWN = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk[-_]|rk_live|AIza|ya29|eyJ|-----BEGIN|npm_|SG\.)"
 # Words that real identifiers, paths and placeholders are made of.
@@ -49,7 +49,7 @@ def measures(secret: Column, before: Column, after: Column) -> Column:
         "digits": 1 - left("[0-9]"),
         "uppers": 1 - left("[A-Z]"),
         "hexes": flag(secret, "^(?:[0-9a-f]+|[0-9A-F]+)$"),
-        "distinct": F.size(F.array_distinct(F.split(F.left(secret, F.lit(400)), ""))) / F.least(n, F.lit(40.0)),
+        "distinct": F.size(F.array_distinct(F.split(secret, ""))) / F.least(n, F.lit(40.0)),
         "covered": 1 - F.length(F.regexp_replace(F.lower(secret), "|".join(sorted(WORDS, key=lambda w: (-len(w), w))), "")) / n,
         "slashes": F.length(F.regexp_replace(secret, "[^/]", "")).cast("double"),
         "name": flag(near, rf"{_NAMES}|(?i:bearer|authorization|login with)"),
@@ -162,51 +162,67 @@ def forest(spark: SparkSession) -> list:
     return _forests[key]
 
 
-def scan(docs: DataFrame, keep: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs with _parts (the text between candidates) and _found: array<struct<head, secret, start, score,
+def running(sizes: Column) -> Column:
+    """For each element of an array of longs the sum of those before it. Sums go over stretches of about the
+    root of the array's size, so an array of n elements takes n times root n steps and not n squared."""
+    n = F.size(sizes)
+    step = F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int")
+    add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
+    ends = F.aggregate(
+        F.sequence(F.lit(0), F.ceil(n / step).cast("int")),
+        F.array(F.lit(0).cast("long")),
+        lambda s, i: F.concat(s, F.array(F.element_at(s, -1) + add(F.slice(sizes, i * step + 1, step)))),
+    )
+    at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ends, F.floor(i / step).cast("int")) + add(F.slice(sizes, i - i % step + 1, i % step)))
+    return F.when(n > 0, at).otherwise(F.array().cast("array<long>"))
+
+
+def scan(rows: DataFrame, text: Column, keep: float = 0.5) -> DataFrame:
+    """rows (row) with parts (the text between candidates) and found: array<struct<head, secret, start, score,
     kept>>, where head is what a match has before its secret, such as a name and an equals sign. Both are
     empty for texts without candidates and null texts."""
-    trees, text = forest(docs.sparkSession), F.col(text_col)
-    has = F.coalesce(text.rlike(CANDIDATE), F.lit(False))
-    d = docs.withColumn("_has", has)
-    d = d.withColumn("_parts", F.when(F.col("_has"), F.split(text, CANDIDATE, -1)).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn("_match", F.when(F.col("_has"), F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))).otherwise(F.array().cast("array<string>")))
+    trees, none = forest(rows.sparkSession), F.array().cast("array<string>")
+    d = rows.withColumn("has", F.coalesce(text.rlike(CANDIDATE), F.lit(False)))
+    d = d.withColumn("parts", F.when(F.col("has"), F.split(text, CANDIDATE, -1)).otherwise(none))
+    d = d.withColumn("match", F.when(F.col("has"), F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))).otherwise(none))
     head = lambda s: F.regexp_extract(s, f"^(?:{_ASSIGN})?", 0)
-    rows = F.transform("_match", lambda s, i: F.struct(i.alias("i"), head(s).alias("head"), F.expr("null").cast("string").alias("none"), s.alias("match")))
-    rows = F.transform(rows, lambda x: F.struct(x["i"].alias("i"), x["head"].alias("head"), F.substring(x["match"], F.length(x["head"]) + 1, F.length(x["match"])).alias("secret"), F.concat(F.get("_parts", x["i"]), x["head"]).alias("before"), F.get("_parts", x["i"] + 1).alias("after")))
-    d = d.withColumn("_rows", rows)
-    d = d.withColumn("_rows", F.transform("_rows", lambda x: x.withField("m", measures(x["secret"], x["before"], x["after"]))))
-    d = d.withColumn("_rows", F.transform("_rows", lambda x: F.struct(x["head"].alias("head"), x["secret"].alias("secret"), F.length(x["before"]).alias("before"), chance(trees, x["m"]).alias("score"))))
-    start = F.aggregate(
-        "_rows",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<head string, secret string, start long, score double, kept boolean>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["before"] + F.length(x["secret"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct(x["head"].alias("head"), x["secret"].alias("secret"), (s["at"] + x["before"]).alias("start"), x["score"].alias("score"), (x["score"] >= keep).alias("kept")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return d.withColumn("_found", start).drop("_rows", "_match", "_has")
+    found = F.transform("match", lambda s, i: F.struct(i.alias("i"), head(s).alias("head"), s.alias("match")))
+    found = F.transform(found, lambda x: F.struct(x["head"].alias("head"), F.substring(x["match"], F.length(x["head"]) + 1, F.length(x["match"])).alias("secret"), F.concat(F.get("parts", x["i"]), x["head"]).alias("before"), F.get("parts", x["i"] + 1).alias("after")))
+    d = d.withColumn("found", found)
+    d = d.withColumn("found", F.transform("found", lambda x: x.withField("m", measures(x["secret"], x["before"], x["after"]))))
+    d = d.withColumn("found", F.transform("found", lambda x: F.struct(x["head"].alias("head"), x["secret"].alias("secret"), F.length(x["before"]).cast("long").alias("before"), chance(trees, x["m"]).alias("score"))))
+    d = d.withColumn("at", running(F.transform("found", lambda x: x["before"] + F.length(x["secret"]))))
+    out = F.transform("found", lambda x, i: F.struct(x["head"].alias("head"), x["secret"].alias("secret"), (F.get("at", i) + x["before"]).alias("start"), x["score"].alias("score"), (x["score"] >= keep).alias("kept")))
+    return d.withColumn("found", out).drop("at", "match", "has")
+
+
+def as_rows(docs: DataFrame) -> DataFrame:
+    """docs as one struct column `row`, beside which other columns may have any name."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def findings(docs: DataFrame, keep: float = 0.5) -> DataFrame:
     """(doc_id, start, length, secret_sha256, score, kept): one row for each candidate; kept ones are secrets.
 
     start counts characters from 0. Null and empty texts and texts without candidates give no rows;
-    repeated rows give theirs each; an empty table gives none; texts are searched whole; null ids stay.
-    Extra columns are left out.
+    repeated rows give theirs each; an empty table gives none; texts and candidates are searched and measured
+    whole; null ids stay. Extra columns are left out.
     """
-    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), keep).select("doc_id", F.explode("_found").alias("f"))
+    rows = as_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    found = scan(rows, F.col("row.text"), keep).select("row.doc_id", F.explode("found").alias("f"))
     return found.select("doc_id", "f.start", F.length("f.secret").cast("long").alias("length"), F.sha2(F.col("f.secret"), 256).alias("secret_sha256"), "f.score", "f.kept")
 
 
 def redact(docs: DataFrame, keep: float = 0.5) -> DataFrame:
-    """docs with each secret in `text` replaced by a mark; other rows as they were, n_chars (if any) follows."""
-    names = docs.columns
-    d = scan(docs, keep)
-    pieces = F.transform("_found", lambda x, i: F.concat(F.get("_parts", i), x["head"], F.when(x["kept"], F.lit(MARK)).otherwise(x["secret"])))
-    hit = F.exists("_found", lambda x: x["kept"])
-    text = F.when(hit, F.concat(F.array_join(pieces, ""), F.element_at("_parts", -1))).otherwise(F.col("text"))
-    d = d.withColumn("_text", text).withColumn("_hit", hit)
-    new = {"text": F.col("_text")} | ({"n_chars": F.when(F.col("_hit"), F.length("_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
-    return d.select(*(new[c].alias(c) if c in new else F.col(c) for c in names))
+    """docs with each secret in `text` replaced by a mark; other rows as they were, n_chars (if any) follows.
+
+    Null and empty texts and texts without secrets stay as they are, repeated rows are treated alike, long
+    texts are searched whole, an empty table gives no rows. All columns stay, whatever their names.
+    """
+    d = scan(as_rows(docs), F.col("row.text"), keep)
+    pieces = F.transform("found", lambda x, i: F.concat(F.get("parts", i), x["head"], F.when(x["kept"], F.lit(MARK)).otherwise(x["secret"])))
+    d = d.withColumn("hit", F.exists("found", lambda x: x["kept"]))
+    d = d.withColumn("new", F.when(F.col("hit"), F.concat(F.array_join(pieces, ""), F.element_at("parts", -1))).otherwise(F.col("row.text")))
+    kind = dict(docs.dtypes)
+    new = {"text": F.col("new")} | ({"n_chars": F.when(F.col("hit"), F.length("new").cast(kind["n_chars"])).otherwise(F.col("row.n_chars"))} if "n_chars" in kind else {})
+    return d.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
