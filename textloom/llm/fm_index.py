@@ -219,7 +219,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, size: int = 8, shard_bytes
             items = [ordered(set(x)) for x in items]
             yield batch(schema, b.column(0), n, [len(x) for x in items], items, [f for f, _ in spans], [z for _, z in spans])
 
-    return _with_spans(d, found, shard_bytes).select("doc_id", "text", "_items", "_first", "_last").mapInArrow(count, SPANS)
+    rows = _with_spans(d, found, shard_bytes)
+    return rows.select("row.doc_id", "row.text", "items", "first", "last").mapInArrow(count, SPANS)
 
 
 def ordered(items: set) -> list:
@@ -228,10 +229,11 @@ def ordered(items: set) -> list:
 
 
 def _with_spans(docs: DataFrame, found: list, shard_bytes: int) -> DataFrame:
-    """docs with _items, _first and _last, as all blocks of phrases found them in the text; null if none did."""
-    kept = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    schema = pa.schema([("_row", pa.int64()), ("items", pa.list_(pa.string())), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64()))])
-    names = "_row long, items array<string>, first array<long>, last array<long>"
+    """(row struct, items, first, last): docs with what all blocks of phrases found in the text; null if none did."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("key"))
+    kept = materialize(rows, "rows")
+    schema = pa.schema([("key", pa.int64()), ("items", pa.list_(pa.string())), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64()))])
+    names = "key long, items array<string>, first array<long>, last array<long>"
 
     def seek(shared):
         def run(batches):
@@ -247,9 +249,9 @@ def _with_spans(docs: DataFrame, found: list, shard_bytes: int) -> DataFrame:
 
         return run
 
-    hits = reduce(DataFrame.unionByName, (kept.select("_row", "text").mapInArrow(seek(p), names) for p in found))
-    flat = hits.groupBy("_row").agg(*(F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("items", "first", "last")))
-    return kept.join(flat, "_row", "left").drop("_row")
+    hits = reduce(DataFrame.unionByName, (kept.select("key", "row.text").mapInArrow(seek(p), names) for p in found))
+    flat = hits.groupBy("key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "first", "last")))
+    return kept.join(flat, "key", "left").drop("key")
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -272,23 +274,26 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 8, shard_byt
     """docs with the spans cut out of `text`; clean rows are as they were, n_chars (if any) follows the text.
 
     A benchmark within `most_bytes` takes one scan without a shuffle. The spans of a larger one are sought
-    block by block in the texts as they came, merged by row, and cut once. Null texts stay null.
+    block by block in the texts as they came, merged by row, and cut once. Null texts stay null, empty ones
+    empty; long texts are searched whole; repeated rows are cut alike; an empty table or benchmark changes
+    nothing. All columns stay, whatever their names; ids take no part, so null and repeated ones do no harm.
     """
     found = [docs.sparkSession.sparkContext.broadcast(p) for p in phrase_blocks(benchmark, size, "item_id", "text", most_bytes)]
     if not found:
         return docs
     if len(found) == 1:
         return docs.mapInArrow(_cutter(found[0], shard_bytes), docs.schema)
-    return _with_spans(docs, found, shard_bytes).drop("_items").mapInArrow(_cut, docs.schema)
+    return _with_spans(docs, found, shard_bytes).select("first", "last", "row").mapInArrow(_cut, docs.schema)
 
 
 def _cut(batches):
-    """Cut the spans of the last two columns, and leave these columns out."""
+    """Cut the spans (first, last) from the rows of the struct column after them."""
     for b in batches:
-        raw = b.column(b.schema.names.index("text")).cast(pa.large_binary()).to_pylist()
-        first, last = (b.column(b.num_columns - k).to_pylist() for k in (2, 1))
+        rows = pa.RecordBatch.from_struct_array(b.column(2))
+        raw = rows.column(rows.schema.names.index("text")).cast(pa.large_binary()).to_pylist()
+        first, last = b.column(0).to_pylist(), b.column(1).to_pylist()
         changed = {i: cut_spans(raw[i], *merged(np.array(f), np.array(z))) for i, (f, z) in enumerate(zip(first, last, strict=True)) if f}
-        yield _changed(b.select(b.schema.names[:-2]), raw, changed)
+        yield _changed(rows, raw, changed)
 
 
 def _changed(b: pa.RecordBatch, raw: list, changed: dict[int, bytes]) -> pa.RecordBatch:
