@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import batch
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+# Each is matched where a "<" stands and never backtracks, so a page is read in linear time.
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)  # for pages with a quote that is never closed
+_BEGIN = re.compile(r"</?[a-zA-Z]|<[!?]")
+_ATTR = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))", re.S)
 _SPACE = re.compile(r"\s+")
 RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "title", "select", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -47,6 +52,7 @@ class Lines:
         self.links = 0
         self.held = (False, False)
         self.stack: list[tuple[str, bool, bool]] = []
+        self.inside: Counter = Counter()  # open elements by name
         self.read(page)
 
     @property
@@ -61,12 +67,14 @@ class Lines:
         self.parts, self.links = [], 0
 
     def add(self, raw: str) -> None:
+        if not raw:
+            return
         if self.parts and self.held != self.state and not raw.isspace():  # furniture begins or ends inside a block
             self.end_line()
         if not self.parts:
             self.held = self.state
         self.parts.append(raw)
-        if any(t == "a" for t, _, _ in self.stack):
+        if self.inside["a"]:
             self.links += len(raw.strip())
 
     def open(self, tag: str, attrs: str) -> None:
@@ -82,38 +90,59 @@ class Lines:
         if tag == "article" and article and name and NAMES.search(name):  # a reader's comment, marked up as an article
             bad, named = True, False
         self.stack.append((tag, furniture or bad, (article or named) and not (furniture or bad)))
+        self.inside[tag] += 1
+
+    def close(self) -> str:
+        tag = self.stack.pop()[0]
+        self.inside[tag] -= 1
+        return tag
 
     def read(self, page: str) -> None:
-        at = 0
-        while m := _TAG.search(page, at):
-            if m.start() > at:
-                self.add(page[at : m.start()])
-            at = m.end()
-            tag = (m[2] or "").lower()
-            if not tag:
+        at, tags = 0, _TAG
+        while (begin := _BEGIN.search(page, at)) is not None:
+            start = begin.start()
+            m = None
+            if page[start + 1] in "!?":
+                mark = _MARK.match(page, start)
+                end = mark.end() if mark else None
+            else:
+                m = tags.match(page, start)
+                if m is None and tags is _TAG:  # a quote is open to the end of the page: from here on quotes don't count
+                    tags = _LOOSE
+                    m = tags.match(page, start)
+                end = m.end() if m else None
+            if start > at:
+                self.add(page[at:start])
+            if end is None:  # no ">" to the end of the page
+                at = len(page)
+                break
+            at = end
+            if m is None:
                 continue
+            tag = m[2].lower()
             if tag in BLOCKS:
                 self.end_line()
             if m[1]:
-                if any(t == tag for t, _, _ in self.stack):
-                    while self.stack.pop()[0] != tag:
+                if self.inside[tag]:
+                    while self.close() != tag:
                         pass
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                stop = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                at = page.find(">", stop.end()) + 1 if stop else 0
+                if not at:
+                    at = len(page)
+                    break
                 continue
             if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
                 continue
-            if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # an open one of the same kind ends here
-                while self.stack and self.stack[-1][0] in ("b", "i", "em", "strong", "span", "a", "u", "font", "small") and any(t == tag for t, _, _ in self.stack):
-                    self.stack.pop()
-                if self.stack and self.stack[-1][0] == tag:
-                    self.stack.pop()
+            if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and self.inside[tag]:  # an open one of the same kind ends here
+                while self.stack[-1][0] in ("b", "i", "em", "strong", "span", "a", "u", "font", "small"):
+                    self.close()
+                if self.stack[-1][0] == tag:
+                    self.close()
             self.open(tag, m[3])
-        rest = page[at:]
-        if not re.match(r"<[a-zA-Z/!?]", rest):
-            self.add(rest)
+        self.add(page[at:])
         self.end_line()
 
 
