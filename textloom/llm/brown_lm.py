@@ -197,38 +197,99 @@ def core_bigrams(made: DataFrame, core: np.ndarray) -> np.ndarray:
     return out
 
 
-def exchange_shard(near: np.ndarray, own: np.ndarray, m: np.ndarray, step: int = 256) -> np.ndarray:
-    """New classes of words, given for each how often each class comes before it (k columns) and after it (k),
-    and how often it follows itself; m: class bigrams of the corpus. Gains are those of exchange(); m takes
-    up the moves after each `step` words."""
-    k, m, own = len(m), m.astype(np.float64), own.astype(np.int64)
-    h = lambda x: x * np.log(np.maximum(x, 1e-300))
-    least = 1e-9 + 1e-13 * float(h(m.sum()))
-    for a in range(0, len(own), step):
-        x, c = near[a : a + step].astype(np.float64), own[a : a + step]
-        at, self_ = np.arange(len(c)), x[:, 2 * k]
-        l, r = x[:, :k].copy(), x[:, k : 2 * k].copy()
-        l[at, c] -= self_
-        r[at, c] -= self_
-        rest = np.repeat(m[None], len(c), axis=0)
-        rest[at, c, :] -= r
-        rest[at, :, c] -= l
-        rest[at, c, c] -= self_
-        rest = np.maximum(rest, 0)
-        held, d = h(rest), np.einsum("wii->wi", rest)
-        out, into = rest.sum(axis=2) + l, rest.sum(axis=1) + r
-        gain, gain2 = h(rest + r[:, None, :]) - held, h(rest + l[:, :, None]) - held
-        best = gain.sum(axis=2) - np.einsum("wii->wi", gain) + gain2.sum(axis=1) - np.einsum("wii->wi", gain2) + h(d + r + l + self_[:, None]) - h(d)
-        best -= h(out + (r.sum(axis=1) + self_)[:, None]) - h(out) + h(into + (l.sum(axis=1) + self_)[:, None]) - h(into)
-        to = best.argmax(axis=1)
-        to = np.where(best[at, to] > best[at, c] + least, to, c)
-        for sign, where in ((-1, c), (1, to)):
+def _h(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def dense_gains(x: np.ndarray, c: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For each word and class, the likelihood's gain from putting the word, taken out of its class c, there.
+    x: how often each class comes before the word (k columns), after it (k), and the word after itself."""
+    k = len(m)
+    at, self_ = np.arange(len(c)), x[:, 2 * k]
+    l, r = x[:, :k].copy(), x[:, k : 2 * k].copy()
+    l[at, c] -= self_
+    r[at, c] -= self_
+    rest = np.repeat(m[None], len(c), axis=0)
+    rest[at, c, :] -= r
+    rest[at, :, c] -= l
+    rest[at, c, c] -= self_
+    rest = np.maximum(rest, 0)
+    held, d = _h(rest), np.einsum("wii->wi", rest)
+    out, into = rest.sum(axis=2) + l, rest.sum(axis=1) + r
+    gain, gain2 = _h(rest + r[:, None, :]) - held, _h(rest + l[:, :, None]) - held
+    best = gain.sum(axis=2) - np.einsum("wii->wi", gain) + gain2.sum(axis=1) - np.einsum("wii->wi", gain2) + _h(d + r + l + self_[:, None]) - _h(d)
+    return best - (_h(out + (r.sum(axis=1) + self_)[:, None]) - _h(out) + _h(into + (l.sum(axis=1) + self_)[:, None]) - _h(into))
+
+
+def sparse_gains(x: np.ndarray, c: np.ndarray, m: np.ndarray, small: int = 6) -> np.ndarray:
+    """dense_gains() of words that never follow themselves and have few neighbours: only the cells of m that
+    a word's neighbours touch can change, so a neighbour class costs k steps and not k squared."""
+    k, n = len(m), len(c)
+    at, l, r = np.arange(n), x[:, :k], x[:, k : 2 * k]
+    best = np.zeros((n, k))
+    for mine, other, cells in ((r, l, m.T), (l, r, m)):  # cells[j, t]: bigrams between neighbour class j and target t
+        word, j = np.nonzero(mine)
+        much, own = mine[word, j], c[word]
+        big = much > small
+        for y in range(1, small + 1):
+            best += (mine == y).astype(float) @ (_h(cells + y) - _h(cells))
+        if big.any():
+            np.add.at(best, word[big], _h(cells[j[big]] + much[big, None]) - _h(cells[j[big]]))
+        rise = lambda x, y: _h(x + y) - _h(x)
+        now, self_cell = cells[j, own], cells[j, j]
+        fix = [(word * k + j, -rise(self_cell, much)), (word * k + own, np.where(j == own, 0, _h(now) - _h(np.maximum(now - much, 0)) - rise(now, much)))]
+        if len(same := np.flatnonzero(j == own)):  # the word itself is in that class: its other neighbours leave these cells
+            was, y = cells[j[same]], much[same, None]
+            diff = rise(np.maximum(was - other[word[same]], 0), y) - rise(was, y)
+            diff[np.arange(len(same)), j[same]] = 0  # the cell of a class with itself comes below
+            np.add.at(best, word[same], diff)
+        for cell, value in fix:
+            best += np.bincount(cell, weights=value, minlength=n * k).reshape(n, k)
+    both, d = l + r, np.repeat(np.diag(m)[None], n, axis=0)
+    d[at, c] = np.maximum(d[at, c] - both[at, c], 0)
+    best += _h(d + both) - _h(d)
+    for mine, total in ((r, m.sum(axis=1)), (l, m.sum(axis=0))):
+        many = mine.sum(axis=1)
+        base = np.repeat(total[None], n, axis=0)
+        base[at, c] = np.maximum(base[at, c] - many, 0)
+        best -= _h(base + many[:, None]) - _h(base)
+    return best
+
+
+def alike_gains(x: np.ndarray, c: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """sparse_gains() of words seen once: those of one class and the same neighbours gain alike."""
+    k = len(m)
+    _, first, which = np.unique((c * k + x[:, :k].argmax(axis=1)) * k + x[:, k : 2 * k].argmax(axis=1), return_index=True, return_inverse=True)
+    return sparse_gains(x[first], c[first], m)[which]
+
+
+def exchange_shard(near: np.ndarray, own: np.ndarray, m: np.ndarray, step: int = 256, few: int = 20) -> np.ndarray:
+    """New classes of words, the most frequent first, given for each how often each class comes before it
+    (k columns) and after it (k), and how often it follows itself; m: class bigrams of the corpus. Gains are
+    those of exchange(); m takes up the moves after each `step` words, after 16 times as many of those with
+    `few` neighbour classes, 160 times as many of those seen once."""
+    k, near, own = len(m), near.astype(np.float64), own.astype(np.int64)
+    rare = (near[:, 2 * k] == 0) & (np.count_nonzero(near[:, : 2 * k], axis=1) <= few)
+    once = rare & (near[:, :k].sum(axis=1) == 1) & (near[:, k:].sum(axis=1) == 1)
+    least = 1e-9 + 1e-13 * float(_h(m.sum()))
+    for which, gains, size in ((np.flatnonzero(~rare), dense_gains, step), (np.flatnonzero(rare & ~once), sparse_gains, 16 * step), (np.flatnonzero(once), alike_gains, 160 * step)):
+        for a in range(0, len(which), size):
+            w = which[a : a + size]
+            x, c = near[w], own[w]
+            at, best = np.arange(len(c)), gains(x, c, m)
+            to = best.argmax(axis=1)
+            to = np.where(best[at, to] > best[at, c] + least, to, c)
             go = to != c
-            np.add.at(m, where[go], sign * r[go])
-            np.add.at(m.T, where[go], sign * l[go])
-            np.add.at(m, (where[go], where[go]), sign * self_[go])
-        m = np.maximum(m, 0)
-        own[a : a + step] = to
+            x, c, to = x[go], c[go], to[go]
+            l, r, self_, at = x[:, :k].copy(), x[:, k : 2 * k].copy(), x[:, 2 * k], np.arange(len(x))
+            l[at, c] -= self_
+            r[at, c] -= self_
+            shift = (to[:, None] == np.arange(k)).astype(float) - (c[:, None] == np.arange(k))
+            m += shift.T @ r + l.T @ shift
+            for sign, where in ((-1, c), (1, to)):
+                np.add.at(m, (where, where), sign * self_)
+            np.maximum(m, 0, out=m)
+            own[w[go]] = to
     return own
 
 
@@ -292,11 +353,9 @@ def answers(made: DataFrame, told: DataFrame | None, core: np.ndarray, classes:
                 x, counts = Block(*r), unpack(counts, np.uint32)
                 own = own_classes(x, said, core, classes, k)
                 cls, (p, q) = own.astype(np.int64), neighbours(x)
-                seen = np.bincount(q * wide + cls[p], minlength=len(x.vocab) * wide)
-                seen += np.bincount(p * wide + k + cls[q], minlength=len(seen))
-                seen += np.bincount(q[p == q] * wide + 2 * k, minlength=len(seen))
-                near = np.flatnonzero(seen)
-                many = seen[near].astype(np.uint32)
+                seen = np.sort(np.concatenate([q * wide + cls[p], p * wide + k + cls[q], q[p == q] * wide + 2 * k]))
+                edge = np.flatnonzero(np.diff(seen, prepend=-1))
+                near, many = seen[edge], np.diff(edge, append=len(seen)).astype(np.uint32)
                 cut = np.searchsorted((x.vocab >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32), np.arange(n_shards + 1, dtype=np.uint64))
                 lie = np.searchsorted(near, cut * wide)
                 span = list(zip(cut[:-1].tolist(), cut[1:].tolist(), lie[:-1].tolist(), lie[1:].tolist(), strict=True))
@@ -314,19 +373,19 @@ def answers(made: DataFrame, told: DataFrame | None, core: np.ndarray, classes:
             total = np.bincount(at, weights=np.concatenate([unpack(r[2], np.uint32) for r in rows]), minlength=len(words)).astype(np.int64)
             cls = np.full(len(words), NONE, dtype=np.uint8)
             cls[at] = np.concatenate([unpack(r[3], np.uint8) for r in rows])
+            place = np.empty(len(words), dtype=np.int64)  # the most frequent words first
+            place[order := np.argsort(-total, kind="stable")] = np.arange(len(words))
             near = [(unpack(r[4], np.uint32).astype(np.int64), a) for r, a in zip(rows, (ends - sizes).tolist(), strict=True)]
-            near = np.concatenate([at[a + i // wide] * wide + i % wide for i, a in near])
+            near = np.concatenate([place[at[a + i // wide]] * wide + i % wide for i, a in near])
             many = np.concatenate([unpack(r[5], np.uint32) for r in rows])
-            order = np.argsort(near, kind="stable")
-            near, many, was, totals = near[order], many[order], cls.copy(), m
-            for a in range(0, len(words), 50_000):
-                z = min(a + 50_000, len(words))
-                lo, hi = np.searchsorted(near, [a * wide, z * wide])
-                seen = np.bincount(near[lo:hi] - a * wide, weights=many[lo:hi], minlength=(z - a) * wide).reshape(z - a, wide)
-                train = total[a:z] > 0
-                new = np.full(z - a, NONE, dtype=np.uint8)
-                new[train] = exchange_shard(seen[train], cls[a:z][train], totals)
-                cls[a:z] = new
+            by = np.argsort(near)
+            near, many, was, totals = near[by], many[by], cls.copy(), m.astype(np.float64)
+            for a in range(0, int((total > 0).sum()), 40_000):
+                own = order[a : min(a + 40_000, int((total > 0).sum()))]
+                lo, hi = np.searchsorted(near, [a * wide, (a + len(own)) * wide])
+                seen = np.bincount(near[lo:hi] - a * wide, weights=many[lo:hi], minlength=len(own) * wide).reshape(len(own), wide)
+                cls[own] = exchange_shard(seen, cls[own], totals)
+            cls[total == 0] = NONE
             moved = int(((was != cls) & (total > 0)).sum())
             for i, (r, a, z) in enumerate(zip(rows, (ends - sizes).tolist(), ends.tolist(), strict=True)):
                 yield batch(said_, [r[0]], [shard], [pack(cls[at[a:z]])], [pack(total[at[a:z]])], *([y if i == 0 else 0] for y in (int(total.sum()), int((total > 0).sum()), moved)))
