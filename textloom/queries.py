@@ -533,7 +533,14 @@ def jaccard_dedup(spark, sf_dir):
     return rank.dedup(e.rank(asked(spark, sf_dir), "bm25", 28).join(e.docs, "doc_id"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {SIM}, vv AS MATERIALIZED (SELECT sim.query_id, sim.rank, sim.doc_id, sim.sim, d.embedding AS v FROM sim LEFT JOIN embeddings d ON d.vec_id = sim.doc_id),
+cand AS MATERIALIZED (SELECT a.query_id, a.rank, any_value(a.sim) AS sim, bool_or(a.v IS NOT NULL) AS has,
+  list(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 9) END ORDER BY b.rank) AS dots FROM vv a JOIN vv b USING (query_id) GROUP BY a.query_id, a.rank),
+g AS (SELECT DISTINCT query_id, [CAST(0 AS BIGINT)] AS kept FROM vv UNION ALL
+  SELECT g.query_id, list_append(any_value(g.kept), arg_max(c.rank, {{'v': round(0.7 * c.sim - 0.3 * greatest(0.0, coalesce(list_max(list_transform(g.kept, lambda r: c.dots[r + 1])), 0.0)), 9), 'r': -c.rank}}))
+  FROM g JOIN cand c ON c.query_id = g.query_id AND c.has AND NOT list_contains(g.kept, c.rank) WHERE len(g.kept) < 20 GROUP BY g.query_id),
+l AS (SELECT query_id, kept FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(kept) DESC) = 1)
+SELECT query_id, doc_id, CAST(i AS INTEGER) AS mmr_rank FROM (SELECT query_id, unnest(kept) AS rank, unnest(range(0, len(kept))) AS i FROM l) JOIN vv USING (query_id, rank)""")
 def mmr_rerank(spark, sf_dir):
     e, q = engine(spark, sf_dir), asked(spark, sf_dir)
     return rank.mmr(e.similar(e.rank(q, "bm25", 28), q))
