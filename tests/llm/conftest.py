@@ -9,7 +9,7 @@ EDGES = [
 @pytest.fixture(scope="session")
 def edges(spark):
     """Nulls, empty and very long texts, repeated rows, and extra columns with names that operators use."""
-    return spark.createDataFrame([(i, t, g, *range(9), "k") for i, t, g in EDGES], "doc_id long, text string, lang string, node long, row long, tag long, mark long, key long, found long, first long, _has long, `a.b` long, p string")
+    return spark.createDataFrame([(i, t, g, *range(9), "k") for i, t, g in EDGES], "doc_id long, text string, lang string, node long, row long, tag long, mark long, key long, found long, first long, _has long, hit long, p string")
 
 
 @pytest.fixture(scope="session")
