@@ -162,21 +162,6 @@ def forest(spark: SparkSession) -> list:
     return _forests[key]
 
 
-def running(sizes: Column) -> Column:
-    """For each element of an array of longs the sum of those before it. Sums go over stretches of about the
-    root of the array's size, so an array of n elements takes n times root n steps and not n squared."""
-    n = F.size(sizes)
-    step = F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int")
-    add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
-    ends = F.aggregate(
-        F.sequence(F.lit(0), F.ceil(n / step).cast("int")),
-        F.array(F.lit(0).cast("long")),
-        lambda s, i: F.concat(s, F.array(F.element_at(s, -1) + add(F.slice(sizes, i * step + 1, step)))),
-    )
-    at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ends, F.floor(i / step).cast("int")) + add(F.slice(sizes, i - i % step + 1, i % step)))
-    return F.when(n > 0, at).otherwise(F.array().cast("array<long>"))
-
-
 def scan(rows: DataFrame, text: Column, keep: float = 0.5) -> DataFrame:
     """rows (row) with parts (the text between candidates) and found: array<struct<head, secret, start, score,
     kept>>, where head is what a match has before its secret, such as a name and an equals sign. Both are
@@ -191,9 +176,16 @@ def scan(rows: DataFrame, text: Column, keep: float = 0.5) -> DataFrame:
     d = d.withColumn("found", found)
     d = d.withColumn("found", F.transform("found", lambda x: x.withField("m", measures(x["secret"], x["before"], x["after"]))))
     d = d.withColumn("found", F.transform("found", lambda x: F.struct(x["head"].alias("head"), x["secret"].alias("secret"), F.length(x["before"]).cast("long").alias("before"), chance(trees, x["m"]).alias("score"))))
-    d = d.withColumn("at", running(F.transform("found", lambda x: x["before"] + F.length(x["secret"]))))
-    out = F.transform("found", lambda x, i: F.struct(x["head"].alias("head"), x["secret"].alias("secret"), (F.get("at", i) + x["before"]).alias("start"), x["score"].alias("score"), (x["score"] >= keep).alias("kept")))
-    return d.withColumn("found", out).drop("at", "match", "has")
+    out = F.aggregate(
+        "found",
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<head string, secret string, start long, score double, kept boolean>>").alias("out")),
+        lambda s, x: F.struct(
+            (s["at"] + x["before"] + F.length(x["secret"])).alias("at"),
+            F.concat(s["out"], F.array(F.struct(x["head"].alias("head"), x["secret"].alias("secret"), (s["at"] + x["before"]).alias("start"), x["score"].alias("score"), (x["score"] >= keep).alias("kept")))).alias("out"),
+        ),
+        lambda s: s["out"],
+    )
+    return d.withColumn("found", out).drop("match", "has")
 
 
 def as_rows(docs: DataFrame) -> DataFrame:
