@@ -226,34 +226,43 @@ def sparse_gains(x: np.ndarray, c: np.ndarray, m: np.ndarray, small: int = 6) ->
     a word's neighbours touch can change, so a neighbour class costs k steps and not k squared."""
     k, n = len(m), len(c)
     at, l, r = np.arange(n), x[:, :k], x[:, k : 2 * k]
-    best = np.zeros((n, k))
+    best, cells_of, values = np.zeros((n, k)), [], []
+    rise = lambda a, y: _h(a + y) - _h(a)
+
+    def put(cell: np.ndarray, value: np.ndarray) -> None:
+        cells_of.append(cell)
+        values.append(value)
+
     for mine, other, cells in ((r, l, m.T), (l, r, m)):  # cells[j, t]: bigrams between neighbour class j and target t
         word, j = np.nonzero(mine)
         much, own = mine[word, j], c[word]
-        big = much > small
-        for y in range(1, small + 1):
-            best += (mine == y).astype(float) @ (_h(cells + y) - _h(cells))
-        if big.any():
-            np.add.at(best, word[big], _h(cells[j[big]] + much[big, None]) - _h(cells[j[big]]))
-        rise = lambda x, y: _h(x + y) - _h(x)
-        now, self_cell = cells[j, own], cells[j, j]
-        fix = [(word * k + j, -rise(self_cell, much)), (word * k + own, np.where(j == own, 0, _h(now) - _h(np.maximum(now - much, 0)) - rise(now, much)))]
+        table = np.concatenate([rise(cells, y) for y in range(1, small + 1)])
+        hot = np.zeros((n, small * k))
+        some = np.flatnonzero(much <= small)
+        hot[word[some], (much[some].astype(np.int64) - 1) * k + j[some]] = 1
+        best += hot @ table
+        if len(big := np.flatnonzero(much > small)):
+            edge = np.flatnonzero(np.diff(word[big], prepend=-1))
+            best[word[big][edge]] += np.add.reduceat(rise(cells[j[big]], much[big, None]), edge)
+        now = cells[j, own]
+        put(word * k + j, -rise(cells[j, j], much))  # the cell of a class with itself comes below
+        put(word * k + own, np.where(j == own, 0, _h(now) - _h(np.maximum(now - much, 0)) - rise(now, much)))
         if len(same := np.flatnonzero(j == own)):  # the word itself is in that class: its other neighbours leave these cells
             was, y = cells[j[same]], much[same, None]
             diff = rise(np.maximum(was - other[word[same]], 0), y) - rise(was, y)
-            diff[np.arange(len(same)), j[same]] = 0  # the cell of a class with itself comes below
-            np.add.at(best, word[same], diff)
-        for cell, value in fix:
-            best += np.bincount(cell, weights=value, minlength=n * k).reshape(n, k)
-    both, d = l + r, np.repeat(np.diag(m)[None], n, axis=0)
-    d[at, c] = np.maximum(d[at, c] - both[at, c], 0)
-    best += _h(d + both) - _h(d)
-    for mine, total in ((r, m.sum(axis=1)), (l, m.sum(axis=0))):
-        many = mine.sum(axis=1)
-        base = np.repeat(total[None], n, axis=0)
-        base[at, c] = np.maximum(base[at, c] - many, 0)
-        best -= _h(base + many[:, None]) - _h(base)
-    return best
+            diff[np.arange(len(same)), j[same]] = 0
+            best[word[same]] += diff
+        # of all bigrams of a class, as neighbours' side, those with the word in it
+        many, total = mine.sum(axis=1), cells.sum(axis=0)
+        sizes, which = np.unique(many, return_inverse=True)
+        best -= rise(total[None], sizes[:, None])[which]
+        rest = np.maximum(total[c] - many, 0)
+        put(at * k + c, rise(total[c], many) - rise(rest, many))
+    both = l + r
+    word, j = np.nonzero(both)
+    much, d = both[word, j], m[j, j]
+    put(word * k + j, rise(np.where(j == c[word], np.maximum(d - much, 0), d), much))
+    return best + np.bincount(np.concatenate(cells_of), weights=np.concatenate(values), minlength=n * k).reshape(n, k)
 
 
 def alike_gains(x: np.ndarray, c: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -268,7 +277,7 @@ def exchange_shard(near: np.ndarray, own: np.ndarray, m: np.ndarray, step: int =
     (k columns) and after it (k), and how often it follows itself; m: class bigrams of the corpus. Gains are
     those of exchange(); m takes up the moves after each `step` words, after 16 times as many of those with
     `few` neighbour classes, 160 times as many of those seen once."""
-    k, near, own = len(m), near.astype(np.float64), own.astype(np.int64)
+    k, near, own = len(m), np.asarray(near, dtype=np.float64), own.astype(np.int64)
     rare = (near[:, 2 * k] == 0) & (np.count_nonzero(near[:, : 2 * k], axis=1) <= few)
     once = rare & (near[:, :k].sum(axis=1) == 1) & (near[:, k:].sum(axis=1) == 1)
     least = 1e-9 + 1e-13 * float(_h(m.sum()))
@@ -464,6 +473,8 @@ def scores(docs: DataFrame, n_classes: int = 32, core: int = 512, share: float =
     are whole. Without training rows all words are unknown. Extra columns are left out.
     """
     k = n_classes
+    if not 2 <= k < NONE:
+        raise ValueError(f"classes are one byte: 2 to {NONE - 1}")
     n_parts = partitions(docs.sparkSession)
     # kept by block, so that a sweep moves the words' classes and not the corpus
     made = corpus(texts(docs, id_col, text_col)).repartition(n_parts, "block").persist(StorageLevel.DISK_ONLY)
