@@ -278,6 +278,38 @@ def test_parity_sketches_lose_no_pair():
 
 
 def test_large_family_is_dealt_into_tasks_that_meet_once(spark):
+def test_long_texts_with_some_shared_lines_are_no_family():
+    """Sets of 2000 to 6000 shingles and 60 of 300 common ones each; the last is the eighth with a tenth changed."""
+    rng = np.random.default_rng(4)
+    new = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    common = new(300)
+    sets = [np.unique(np.concatenate([rng.choice(common, 60, replace=False), new(n)])) for n in rng.integers(2000, 6000, 200)]
+    sets.append(np.unique(np.concatenate([sets[7][rng.random(len(sets[7])) < 0.95], new(len(sets[7]) // 20)])))
+    for hot in (np.zeros(0, dtype=np.uint64), np.sort(sets[7][::6])):
+        keys = [parity_join.Bands(80).keys(s, hot) for s in sets]
+        who, held = np.repeat(np.arange(len(sets)), [len(k) for k in keys]), np.unique(np.concatenate(keys), return_inverse=True)[1]
+        order = np.lexsort((who, held))
+        hub = who[order][np.unique(held[order], return_index=True)[1]][held]
+        root = np.arange(len(sets))
+        a, b = components.spanning(who[hub != who], hub[hub != who])
+        root[a] = b
+        assert root[200] == root[7] and np.bincount(root).max() < 60  # 157 when parts of one shingle were all sent
+
+
+def test_any_step_of_parts_loses_no_pair():
+    """Sets of few rare shingles, about as many as decide which step a document ends with."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        size = int(rng.integers(5, 700))
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        lost = int(rng.integers(0, size // 9 + 1))
+        b = np.unique(np.concatenate([a[lost:], rng.integers(0, 2**64, int(rng.integers(0, max(0, size // 9 - lost) + 1)), dtype=np.uint64)]))
+        if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
+            continue
+        hot = np.sort(rng.permutation(np.union1d(a, b))[: int(rng.random() * size)])
+        assert len(np.intersect1d(parity_join.Bands(80).keys(a, hot), parity_join.Bands(80).keys(b, hot)))
+
+
     d = spark.range(1300).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("family"), (F.col("id") % 3).alias("band"), F.lit(10).cast("long").alias("n"), F.lit(1).cast("long").alias("copies"))
     t = parity_join.blocked(d).toPandas()
     again = parity_join.blocked(d, most_sent=0).toPandas()
