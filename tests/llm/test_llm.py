@@ -383,6 +383,14 @@ def test_topk_against_all_pairs(spark, sf):
 
 
 def test_topk_prunes_by_the_score_found_elsewhere():
+def test_topk_broadcasts_no_queries(spark, sf):
+    from textloom.llm.common import table
+
+    out = kdtree.search_all(table(spark, sf, "embeddings"), shard_rows=100, least_rows=50, query_rows=3)
+    assert out.count()
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
     rng = np.random.default_rng(3)
     rows = rng.integers(-1000, 1000, (2000, 8))
     t = kdtree.Tree.unpack(8, *kdtree.Tree.build(np.arange(2000), rows).pack())
