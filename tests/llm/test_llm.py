@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -277,7 +278,6 @@ def test_parity_sketches_lose_no_pair():
                     assert np.intersect1d(bands.keys(a, hot), bands.keys(b, hot)).size
 
 
-def test_large_family_is_dealt_into_tasks_that_meet_once(spark):
 def test_long_texts_with_some_shared_lines_are_no_family():
     """Sets of 2000 to 6000 shingles and 60 of 300 common ones each; the last is the eighth with a tenth changed."""
     rng = np.random.default_rng(4)
@@ -310,6 +310,7 @@ def test_any_step_of_parts_loses_no_pair():
         assert len(np.intersect1d(parity_join.Bands(80).keys(a, hot), parity_join.Bands(80).keys(b, hot)))
 
 
+def test_large_family_is_dealt_into_tasks_that_meet_once(spark):
     d = spark.range(1300).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("family"), (F.col("id") % 3).alias("band"), F.lit(10).cast("long").alias("n"), F.lit(1).cast("long").alias("copies"))
     t = parity_join.blocked(d).toPandas()
     again = parity_join.blocked(d, most_sent=0).toPandas()
@@ -382,7 +383,6 @@ def test_topk_against_all_pairs(spark, sf):
     assert kdtree.search_all(d.filter("false")).count() == 0
 
 
-def test_topk_prunes_by_the_score_found_elsewhere():
 def test_topk_broadcasts_no_queries(spark, sf):
     from textloom.llm.common import table
 
@@ -391,6 +391,7 @@ def test_topk_broadcasts_no_queries(spark, sf):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_topk_prunes_by_the_score_found_elsewhere():
     rng = np.random.default_rng(3)
     rows = rng.integers(-1000, 1000, (2000, 8))
     t = kdtree.Tree.unpack(8, *kdtree.Tree.build(np.arange(2000), rows).pack())
@@ -657,6 +658,21 @@ def test_secrets_after_equals_signs_dots_and_in_paths(spark):
     assert {(r.doc_id, r.length) for r in secrets.findings(odd).collect()} == {(1, 40), (2, 40), (3, 60_001)}
 
 
+def test_stages_send_bounded_batches(spark, sf):
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    import corpus_pipeline
+
+    docs = spark.range(300, numPartitions=1).selectExpr("id doc_id", "repeat('some words ', 10000) text")
+    try:
+        for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_benchmark, corpus_pipeline.pack_sequences):
+            spark.conf.set(key, "67108864")
+            stage(spark, docs.limit(3), sf)
+            got = docs.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes])}) for b in it), "n long").toPandas()
+            assert got.n.max() < 5_000_000
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_stages_on_edge_cases(spark, edges, empty, sf):
     import corpus_pipeline as cp
 
