@@ -50,6 +50,23 @@ def test_cached_encoding_is_the_librarys(path, spaces):
         assert [b.tolist() for b in e.encode([t.encode() for t in texts])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_letters_whose_lower_case_lies_outside_the_table_keep_their_ids():
+    lib, e = Tokenizer.from_file(WORDS), PieceEncoder(WORDS, False)
+    texts = [t for c in map(chr, range(0xC0, 0x250)) for t in (f"a{c}b {c}", f"{c}.{c}\n{c}7", f"<{c}' {c}\u0301")]
+    assert [b.tolist() for b in e.encode([t.encode() for t in texts])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_one_piece_whatever_stands_beside_it():
+    lib, e = Tokenizer.from_file(WORDS), PieceEncoder(WORDS, False)
+    texts = ["river", "River, RIVER! (river)\n\nriver:river 12 (2021)", "ÉTÉ été. Été?", "don't <|endoftext|> <|ENDOFTEXT|> river's RIVER'S", "\n", "River"]
+    for _ in range(2):
+        assert [b.tolist() for b in e.encode([t.encode() for t in texts])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    e.encode([b"lake , ! ( ) : ? 1 2"])
+    held = e.pieces
+    e.encode([b"Lake, LAKE! (lake)\n\nlake:Lake? 12 lake21"])
+    assert e.pieces == held
+
+
 tokenizer = functools.lru_cache(Tokenizer.from_file)
 
 
@@ -169,6 +186,16 @@ def test_repair_grammar_is_complete_and_as_small_as_pair_by_pair():
             assert len(symbols) + 3 * len(rules) <= 1.02 * (len(plain) + 3 * len(more)) + 12
 
 
+def test_repair_groups_equal_values_however_wide():
+    rng = np.random.default_rng(9)
+    for x in (rng.integers(0, 9, 200), rng.integers(2**62, 2**62 + 9, 200), rng.integers(-4, 4, 50), np.zeros(0, np.int64)):
+        order, at, held = repair.grouped(x)
+        assert np.array_equal(order, np.argsort(x, kind="stable")) and np.array_equal(held, np.unique(x)) and np.array_equal(x[order[at]], held)
+    ids = rng.integers(2**31, 2**31 + 5, 900).astype(np.uint32)
+    symbols, _, rules = repair.compress(ids, np.array([0]), 2**31 + 5)
+    assert len(symbols) < 900 and np.array_equal(repair.expand(symbols, rules, 2**31 + 5), ids)
+
+
 def brute_spans(rows, items, size=8):
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
     grams = collections.defaultdict(set)
