@@ -261,3 +261,11 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["status"]) == 0 and cli.main(["sweep", str(docs)]) == 0 and cli.main(["clear"]) == 0 and cli.main(["version"]) == 0
     assert [cli.main(a) for a in (["search"], ["config", "nothing"], ["ls", "--wrong"], ["eval", str(docs)])] == [2, 1, 2, 1]
     assert (cli.human_size(1536), cli.ago(None, 5), cli.ago(1, 7300), cli.shown_path("/a/b", "/a")) == ("1.5 KB", "never", "2h ago", "b")
+
+
+def test_references_without_a_semicolon_match_sql(spark, tmp_path):
+    pages = "SELECT * FROM (VALUES (1, '<title>a&amp;&amp</title><p>b &lt c &amp;gt &#39;</p>'), (2, '')) t(page_id, html)"
+    duckdb.connect().sql(f"COPY ({pages}) TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
+    got = entry.queries()["extract_html_text"](spark, str(tmp_path)).toPandas()
+    assert rows(got, ["page_id", "text"]) == rows(sql_rows(entry.oracle_sql()["extract_html_text"], pages=pages), ["page_id", "text"])
+    assert spark.range(1).select(extract.html_text(F.lit("<p>a &amp b</p>"))).first()[0] == "a & b"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import email
 import html
+import html.entities
 import io
 import re
 import zipfile
@@ -25,10 +26,24 @@ def _decoded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
 
-def unescape(text: Column) -> Column:
-    """All character references decoded, named and numeric; texts without any don't leave the JVM's expression."""
+_ENDED = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _ended(ref: re.Match) -> str:
+    known = ref[0][1] == "#" or ref[0][1:] in html.entities.html5
+    return html.unescape(ref[0]) if known else ref[0]
+
+
+@F.pandas_udf(StringType())
+def _decoded_ended(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else _ENDED.sub(_ended, t))
+
+
+def unescape(text: Column, unended: bool = True) -> Column:
+    """All character references decoded, named and numeric; texts without any don't leave the JVM's expression.
+    Those without their semicolon (a text cut off inside one) are decoded as browsers do, or left as they are."""
     has = text.rlike(r"&(?:#[0-9xX]|[A-Za-z])")
-    return F.when(has, _decoded(F.when(has, text))).otherwise(text)
+    return F.when(has, (_decoded if unended else _decoded_ended)(F.when(has, text))).otherwise(text)
 
 
 def plain(content: Column) -> Column:
@@ -37,11 +52,11 @@ def plain(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def html_text(page: Column) -> Column:
-    """Text nodes, one a line, without scripts, styles and comments; character references decoded."""
+def html_text(page: Column, unended: bool = True) -> Column:
+    """Text nodes, one a line, without scripts, styles and comments; character references decoded (see unescape)."""
     d = F.regexp_replace(page, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", "")
     d = F.regexp_replace(d, r"(?s)</?[A-Za-z!?][^>]*>", "\n")
-    lines = F.transform(F.split(unescape(d), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    lines = F.transform(F.split(unescape(d, unended), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
