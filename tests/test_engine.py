@@ -269,3 +269,10 @@ def test_references_without_a_semicolon_match_sql(spark, tmp_path):
     got = entry.queries()["extract_html_text"](spark, str(tmp_path)).toPandas()
     assert rows(got, ["page_id", "text"]) == rows(sql_rows(entry.oracle_sql()["extract_html_text"], pages=pages), ["page_id", "text"])
     assert spark.range(1).select(extract.html_text(F.lit("<p>a &amp b</p>"))).first()[0] == "a & b"
+
+
+def test_values_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    spark.sql("SELECT 1 AS vec_id, array(3.0F, -0.000001F, 0.0F, 4.0F) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = entry.queries()["l2_normalize"](spark, str(tmp_path)).first().unit
+    want = sql_rows(entry.oracle_sql()["l2_normalize"], embeddings=f"SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")["unit"][0]
+    assert list(map(repr, got)) == [repr(float(x)) for x in want] == ["0.6", "-0.0", "0.0", "0.8"]
