@@ -276,3 +276,10 @@ def test_values_that_round_to_zero_keep_their_sign(spark, tmp_path):
     got = entry.queries()["l2_normalize"](spark, str(tmp_path)).first().unit
     want = sql_rows(entry.oracle_sql()["l2_normalize"], embeddings=f"SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")["unit"][0]
     assert list(map(repr, got)) == [repr(float(x)) for x in want] == ["0.6", "-0.0", "0.0", "0.8"]
+
+
+def test_blank_texts_are_normalized_as_in_sql(spark, tmp_path):
+    docs = "SELECT * FROM (VALUES (1, ''), (2, '  ' || chr(10)), (3, ' a  b '), (4, NULL)) t(doc_id, text)"
+    duckdb.connect().sql(f"COPY ({docs}) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    got = entry.queries()["normalize_text"](spark, str(tmp_path)).toPandas()
+    assert rows(got, ["doc_id", "text"]) == rows(sql_rows(entry.oracle_sql()["normalize_text"], documents=docs), ["doc_id", "text"])
