@@ -283,3 +283,8 @@ def test_blank_texts_are_normalized_as_in_sql(spark, tmp_path):
     duckdb.connect().sql(f"COPY ({docs}) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
     got = entry.queries()["normalize_text"](spark, str(tmp_path)).toPandas()
     assert rows(got, ["doc_id", "text"]) == rows(sql_rows(entry.oracle_sql()["normalize_text"], documents=docs), ["doc_id", "text"])
+
+
+def test_a_character_split_by_the_cut_at_8_kb_is_text(spark):
+    d = spark.createDataFrame([(b"x" * 8191 + "é".encode() + b"y",), (b"x" * 8190 + "€".encode(),), (b"x" * 8189 + "😀".encode(),), (b"x" * 8000 + b"\xff" + b"x" * 300,), (b"x\xc3",)], "c binary")
+    assert [tuple(r) for r in d.select(files.is_text(F.col("c")), files.is_utf8_text(F.col("c"))).collect()] == [(True, True)] * 3 + [(False, False)] * 2
