@@ -288,3 +288,13 @@ def test_blank_texts_are_normalized_as_in_sql(spark, tmp_path):
 def test_a_character_split_by_the_cut_at_8_kb_is_text(spark):
     d = spark.createDataFrame([(b"x" * 8191 + "é".encode() + b"y",), (b"x" * 8190 + "€".encode(),), (b"x" * 8189 + "😀".encode(),), (b"x" * 8000 + b"\xff" + b"x" * 300,), (b"x\xc3",)], "c binary")
     assert [tuple(r) for r in d.select(files.is_text(F.col("c")), files.is_utf8_text(F.col("c"))).collect()] == [(True, True)] * 3 + [(False, False)] * 2
+
+
+def test_a_phrase_at_once_after_itself_counts_as_in_sql(spark, tmp_path):
+    docs = "SELECT * FROM (VALUES (1, 'x y z x y z'), (2, 'x y z, w x y z x y z'), (3, 'a a a a'), (4, 'x y')) t(doc_id, text)"
+    asked = "SELECT * FROM (VALUES (1, 'p q x Y z'), (2, 'p q a a')) t(item_id, text)"
+    for name, made in (("documents", f"SELECT *, '' AS lang, '' AS source FROM ({docs})"), ("benchmark", asked)):
+        duckdb.connect().sql(f"COPY ({made}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = entry.queries()["phrase_match"](spark, str(tmp_path)).toPandas()
+    names = ["query_id", "doc_id", "times"]
+    assert rows(got, names) == rows(sql_rows(entry.oracle_sql()["phrase_match"], documents=docs, benchmark=asked), names)
