@@ -13,6 +13,7 @@ from textloom.functions import text as tx
 from textloom.functions.embed import HashingEmbedder, ModelEmbedder, fill
 from textloom.functions.stem import porter
 from textloom.operators import chunk, evaluate, index, rank
+from textloom.operators import rows as in_rows
 from textloom.operators import store
 from textloom.operators.store import Index
 from textloom.plans import search as plan
@@ -263,6 +264,13 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert (cli.human_size(1536), cli.ago(None, 5), cli.ago(1, 7300), cli.shown_path("/a/b", "/a")) == ("1.5 KB", "never", "2h ago", "b")
 
 
+def sql_rows(q, **views):
+    con = duckdb.connect()
+    for name, made in views.items():
+        con.sql(f"CREATE VIEW {name} AS {made}")
+    return con.sql(q).df()
+
+
 def test_references_without_a_semicolon_match_sql(spark, tmp_path):
     pages = "SELECT * FROM (VALUES (1, '<title>a&amp;&amp</title><p>b &lt c &amp;gt &#39;</p>'), (2, '')) t(page_id, html)"
     duckdb.connect().sql(f"COPY ({pages}) TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
@@ -285,11 +293,6 @@ def test_blank_texts_are_normalized_as_in_sql(spark, tmp_path):
     assert rows(got, ["doc_id", "text"]) == rows(sql_rows(entry.oracle_sql()["normalize_text"], documents=docs), ["doc_id", "text"])
 
 
-def test_a_character_split_by_the_cut_at_8_kb_is_text(spark):
-    d = spark.createDataFrame([(b"x" * 8191 + "é".encode() + b"y",), (b"x" * 8190 + "€".encode(),), (b"x" * 8189 + "😀".encode(),), (b"x" * 8000 + b"\xff" + b"x" * 300,), (b"x\xc3",)], "c binary")
-    assert [tuple(r) for r in d.select(files.is_text(F.col("c")), files.is_utf8_text(F.col("c"))).collect()] == [(True, True)] * 3 + [(False, False)] * 2
-
-
 def test_a_phrase_at_once_after_itself_counts_as_in_sql(spark, tmp_path):
     docs = "SELECT * FROM (VALUES (1, 'x y z x y z'), (2, 'x y z, w x y z x y z'), (3, 'a a a a'), (4, 'x y')) t(doc_id, text)"
     asked = "SELECT * FROM (VALUES (1, 'p q x Y z'), (2, 'p q a a')) t(item_id, text)"
@@ -298,3 +301,65 @@ def test_a_phrase_at_once_after_itself_counts_as_in_sql(spark, tmp_path):
     got = entry.queries()["phrase_match"](spark, str(tmp_path)).toPandas()
     names = ["query_id", "doc_id", "times"]
     assert rows(got, names) == rows(sql_rows(entry.oracle_sql()["phrase_match"], documents=docs, benchmark=asked), names)
+
+
+def test_a_character_split_by_the_cut_at_8_kb_is_text(spark):
+    d = spark.createDataFrame([(b"x" * 8191 + "é".encode() + b"y",), (b"x" * 8190 + "€".encode(),), (b"x" * 8189 + "😀".encode(),), (b"x" * 8000 + b"\xff" + b"x" * 300,), (b"x\xc3",)], "c binary")
+    assert [tuple(r) for r in d.select(files.is_text(F.col("c")), files.is_utf8_text(F.col("c"))).collect()] == [(True, True)] * 3 + [(False, False)] * 2
+
+
+def test_scores_leave_a_task_only_as_its_best(spark, sf):
+    for name in ("search_bm25", "prf_requery", "stem_match"):
+        p = entry.queries()[name](spark, sf)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "Join" not in p and p.count("Exchange") <= (name == "search_bm25")
+
+
+def test_scores_in_rows_equal_scores_of_postings(spark, tmp_path):
+    texts = ["a b", "a b", "b c a", "", None, "c c c x", "a b", "K\u212a", "x \u0130y", "b", "zz"] * 3
+    d = spark.createDataFrame([(i, f"n{i:02d}", t) for i, t in enumerate(texts)], "doc_id long, name string, text string").repartition(3)
+    q = spark.createDataFrame([(1, "a b b q"), (2, "c kk"), (3, "i y"), (4, "nothing")], "query_id long, text string")
+    stats = index.corpus_stats(d, "doc_id")
+    for key in ("doc_id", "name"):
+        docs = d.select(F.col(key).alias("doc_id"), "text", F.lit("/").alias("path"))
+        posted = index.postings(docs, "doc_id")
+        want = rank.bm25(q, posted, index.document_frequency(posted), stats)
+        for k in (2, 100):
+            assert rows(plan.Engine(docs).rank(q, "bm25", k).toPandas(), ["query_id", "doc_id", "score", "rank"]) == rows(rank.top_k(want, k).toPandas(), ["query_id", "doc_id", "score", "rank"])
+        assert rows(plan.Engine(docs).scored(q).toPandas(), ["query_id", "doc_id", "score"]) == rows(want.toPandas(), ["query_id", "doc_id", "score"])
+    keys = q.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"), F.lit(1.0).alias("weight"))
+    posted = index.postings(d, "doc_id")
+    want = rank.match_bm25(keys, posted, index.document_frequency(posted), index.row_stats(d)).withColumn("g", F.col("doc_id") % 2)
+    got = plan.Engine(d).matched(keys, None, 2, F.col("doc_id") % 2, 2).withColumn("g", F.col("doc_id") % 2)
+    best = lambda x: x.withColumn("r", F.expr("row_number() over (partition by query_id, g order by score, doc_id)")).filter("r <= 2").toPandas()
+    assert rows(best(got), ["query_id", "doc_id", "score", "r"]) == rows(best(want), ["query_id", "doc_id", "score", "r"])
+
+
+def test_passages_are_found_inside_longer_words(spark):
+    d = spark.createDataFrame([(1, "before the long passage after"), (2, "xbefore the longy"), (3, "none"), (4, None)], "doc_id long, text string")
+    got = {tuple(r) for r in in_rows.holding(d, [(1, "fore the lon"), (2, "the"), (3, "!"), (4, None)], "bigint").collect()}
+    assert got == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_stems_in_rows_equal_stems_of_postings(spark):
+    d = spark.createDataFrame([(1, "He runs daily, run"), (2, "a running cat"), (3, "rune"), (4, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "Running CATS"), (2, "")], "query_id long, text string")
+    posted = index.postings(d, "doc_id").withColumn("stem", stem.stem(F.col("term")))
+    assert {tuple(r) for r in rank.stem_match_rows(q, d).collect()} == {tuple(r) for r in rank.stem_match(q, posted, "doc_id").collect()} == {(1, 1, 1), (1, 2, 2)}
+
+
+def test_postings_of_a_stored_index_are_blocks(spark, tmp_path):
+    f = lambda *r: spark.createDataFrame([(p, len(t), m, t) for p, m, t in r], "path string, size long, mtime double, text string").repartition(2)
+    many = [(f"/{i}.txt", 1.0, f"common w{i % 7} " + "many " * (i * 9) + "end") for i in range(40)]
+    ix = Index(spark, f"file://{tmp_path}/ix").build(f(*many))
+    assert spark.read.parquet(f"{ix.root}/postings").count() < ix.postings().count() / 2  # a row for a term of a block, not of a chunk
+    ix.refresh(f(*many[:10], *((p, 2.0, t + " other common") for p, _, t in many[10:20]))).remove(f(*many[:2]).select("path")).sweep(f(*many[:30]).select("path"))
+    for again in range(2):
+        chunks, posted, t = ix.chunks(), ix.postings(), ix.totals().first()
+        want = index.postings(chunks.select("chunk_id", "text"))
+        assert rows(posted.toPandas(), ["chunk_id", "term", "tf", "dl"]) == rows(want.toPandas(), ["chunk_id", "term", "tf", "dl"])
+        assert rows(ix.vocabulary().toPandas(), ["term", "df", "cnt"]) == rows(index.document_frequency(want).toPandas(), ["term", "df", "cnt"])
+        assert {r.stem for r in posted.filter("term = 'many'").collect()} == {"mani"} and t.rows == chunks.count() and t.n == 28
+        q = spark.createDataFrame([(1, "common many"), (2, "w3 other"), (3, "none")], "query_id long, text string")
+        plain = rank.bm25(q, posted.withColumnRenamed("chunk_id", "doc_id"), ix.vocabulary(), ix.totals())
+        assert rows(plan.Engine.of(ix).rank(q, "bm25", 5).toPandas(), ["query_id", "doc_id", "score", "rank"]) == rows(rank.top_k(plain, 5).toPandas(), ["query_id", "doc_id", "score", "rank"])
+        ix.compact()

@@ -199,7 +199,7 @@ def evaluate(spark, args) -> int:
     e = HashingEmbedder()
     vectors = e.embed(docs).filter("v is not null").select("doc_id", "v")
     queries = e.embed(queries).withColumnRenamed("v", "qv")
-    engine = Engine(docs, vectors).built()
+    engine = Engine(docs, vectors)
     report({m: engine.rank(queries, m) for m in args.mode or ("bm25", "embedding", "hybrid")}, rel).show(truncate=False)
     return 0
 
